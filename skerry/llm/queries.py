@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from .ann import op9_nearest_neighbours
+from .html_text import op4_html_extraction
+from .language import op5_language_id
+from .packing import op1_best_fit_packing
 from .toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_language_id": op5_language_id,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_toxicity": op10_toxicity,
 }
 
