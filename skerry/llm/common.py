@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -126,10 +127,6 @@ class TokenBytes:
                 self.parts.update((part, self._ids(part).tobytes()) for part in some)
 
     def _learn(self, new: set[str]) -> None:
-        for held in (self.chunks, self.parts):
-            if len(held) > self.MOST:
-                for key in [k for k, _ in zip(held, range(len(held) // 2), strict=False)]:
-                    del held[key]
         apart = {}
         for chunk in new:
             if self.PLAIN.fullmatch(chunk) and "<|" not in chunk:
@@ -143,6 +140,10 @@ class TokenBytes:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes an id."""
+        for held in (self.chunks, self.parts):
+            if len(held) > self.MOST:
+                for key in list(islice(held, len(held) // 2)):  # the oldest
+                    del held[key]
         # str.split takes four control characters for white space that the vocabulary's pattern doesn't
         split = [t.split() if "\x1c" not in t and "\x1d" not in t and "\x1e" not in t and "\x1f" not in t else [x for x in self.HARD_SPACE.split(t) if x] for t in texts]
         met = set()
