@@ -6,10 +6,14 @@ from .ann import op9_nearest_neighbours
 from .html_text import op4_html_extraction
 from .language import op5_language_id
 from .packing import op1_best_fit_packing
+from .quality import op2_quality_rules
+from .token_files import op3_token_counts
 from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_token_counts": op3_token_counts,
     "op4_html_extraction": op4_html_extraction,
     "op5_language_id": op5_language_id,
     "op9_nearest_neighbours": op9_nearest_neighbours,
