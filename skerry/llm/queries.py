@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op9_nearest_neighbours
 from .html_text import op4_html_extraction
+from .jaccard import op6_ngram_jaccard_join
 from .language import op5_language_id
 from .packing import op1_best_fit_packing
 from .quality import op2_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_html_extraction": op4_html_extraction,
     "op5_language_id": op5_language_id,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_toxicity": op10_toxicity,
 }
