@@ -416,7 +416,7 @@ ORACLE_SQL = {
     "standard_tokens": "select doc_id, token, count(*) as n from (select doc_id, unnest(regexp_extract_all(text,'[0-9A-Za-z]+')) as token from documents) group by all",
     "token_positions": f"select item_id, (position - 1)::int as position, token from (select item_id, unnest(x) as token, generate_subscripts(x, 1) as position from (select item_id, regexp_extract_all(translate(text,{_AZ}),'[0-9a-z]+') as x from benchmark))",
     "cjk_bigrams": f"{_CJK_SQL}z as (select 1) select id, token from big",
-    "mixed_dispatch": f"{_CJK_SQL}n as (select id, text, len(regexp_extract_all(text, '{_CJK_CHARS}')) * 2 > length(text) as cjk from t) select id, token from big join n using (id) where cjk union all select id, unnest(regexp_extract_all(text, '[0-9A-Za-z]+|{_CJK_CHARS}+')) from n where not cjk",
+    "mixed_dispatch": f"{_CJK_SQL}n as (select id, text, len(regexp_extract_all(text, '{_CJK_CHARS}')) * 2 > length(text) as cjk from t) select id, token from big join n using (id) where cjk union all select id, unnest(regexp_extract_all(text, '([0-9A-Za-z]|{_CJK_CHARS})+')) from n where not cjk",
     "deleted_search": _scores(f"select * from ({_or('that', 'les')}) where doc_id not in (select doc_id from labels where toxic = 1)"),
     "merged_postings": f"{_with()}select 1000::bigint as segment_id, term, sum(df)::bigint as doc_freq from df group by term",
     "merged_meta": f"{_with()}select 1000::bigint as segment_id, count(*) as doc_count, sum(coalesce(dl, 0))::bigint as total_terms, (count(*) - 1)::bigint as last_doc from ids left join dl using (doc_id)",
