@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import Scorer, bm25
 from ..plans.query import Query
-from ..sources.store import POSTINGS, TERM_DICT, Store
+from ..sources.store import POSTINGS, TERM_DICT, Store, empty
 from .stats import QueryStats
 
 HITS = "external_id string, score float, segment_id long, doc_id int"
@@ -81,7 +81,7 @@ class IndexReader:
         broadcast table of a row a term and query.
         """
         wanted = [(i, t) for i, q in queries.items() for t in q.terms()]
-        none = self.spark.createDataFrame([], "query_id int, segment_id long, doc_id int, score double")
+        none = empty(self.spark, "query_id int, segment_id long, doc_id int, score double")
         if not wanted or not self.manifest.segments:
             return none
         terms = sorted({t for _, t in wanted})

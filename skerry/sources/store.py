@@ -15,6 +15,8 @@ import json
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .schema import CorruptIndexError, Schema
 
@@ -25,7 +27,7 @@ DELETES = "segment_id long, doc_id int"
 
 @dataclass(frozen=True)
 class SegmentMeta:
-    """What is known of a segment. ``folder`` holds its tables (a rewrite after deletes keeps the id)."""
+    """What is known of a segment without reading it."""
 
     segment_id: int
     doc_count: int
@@ -60,6 +62,11 @@ class Manifest:
         return [s.segment_id for s in self.segments]
 
 
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows, known as such to the optimiser, which drops joins and unions with it."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -117,11 +124,11 @@ class Store:
     def table(self, name: str, segments: list[int], schema: str) -> DataFrame:
         """The rows of some segments; only their folders are read."""
         if not segments:
-            return self.spark.createDataFrame([], schema)
+            return empty(self.spark, schema)
         folders = [f"{self.path}/{name}/segment_id={s}" for s in segments]
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*folders)
 
     def deletes(self, manifest: Manifest) -> DataFrame:
         if not manifest.delete_versions:
-            return self.spark.createDataFrame([], DELETES)
+            return empty(self.spark, DELETES)
         return self.spark.read.schema(DELETES).parquet(*[f"{self.path}/deletes/version={v}" for v in manifest.delete_versions]).distinct()

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import Store
+from .store import Store, empty
 
 RECORD = "batch long, seq long, op string, internal_id long, external_id string, fields array<struct<name: string, value: string>>"
 
@@ -47,7 +47,7 @@ class WriteAheadLog:
     def records(self, batches: list[int] | None = None) -> DataFrame:
         got = self.batches() if batches is None else batches
         if not got:
-            return self.spark.createDataFrame([], RECORD)
+            return empty(self.spark, RECORD)
         return self.spark.read.schema(RECORD).parquet(*[f"{self.store.path}/wal/{b}" for b in got])
 
     def sync(self) -> None:
