@@ -26,6 +26,7 @@ from .common import cut, mix64, prepare, table
 SLACK = 2
 COORDINATES = 64
 FANOUT = 32
+ROWS_A_PART = 100_000
 
 
 def shingles(text: str | None, words: int = 3) -> np.ndarray:
@@ -108,6 +109,11 @@ def features(docs: DataFrame, *, id_col: str, text_col: str, percent: int, words
     return rows.mapInPandas(run, "n_shingles long, k1 long, k2 long, signatures array<long>, doc_id long")
 
 
+def _each(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """Rows (a, b) for each pair of columns of each row; how the frame is partitioned stays as it is, so few rows need no shuffle."""
+    return df.select(F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs])))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root of each node of the edges (a, b): the smallest node that it is connected with.
 
@@ -115,20 +121,20 @@ def components(edges: DataFrame) -> DataFrame:
     until nothing changes. Rounds are few (logarithmic in the longest path), each a sum by key and a join.
     """
     e = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    n = e.count()
+    while n:
+        e = e.coalesce(max(1, n // ROWS_A_PART))  # their number never grows, so neither do the parts
+        kids = e.groupBy("a").agg(F.count("*").alias("n"))
+        # done when every node has one smaller neighbour at most, and none is both above and below another
+        if kids.where("n > 1").isEmpty() and e.select(F.col("b").alias("a")).join(kids, "a", "left_semi").isEmpty():
+            break
+        both = _each(e, ("a", "b"), ("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a != b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        e = cut(small.where("a != b").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        e = cut(_each(large.join(low, "a"), ("b", "m"), ("a", "m")).where("a != b").distinct())
+        n = e.count()
+    return _each(e, ("a", "b"), ("b", "b")).distinct().select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 class Tree:
