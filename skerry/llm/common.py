@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,7 +88,7 @@ class TokenBytes:
     encoded together; any other chunk goes to the library as it is.
     """
 
-    MOST = 400_000
+    MOST = 600_000
     PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
     PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
     HARD_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
@@ -127,16 +128,26 @@ class TokenBytes:
                 self.parts.update((part, self._ids(part).tobytes()) for part in some)
 
     def _learn(self, new: set[str]) -> None:
-        apart = {}
+        parts, plain = self.parts, self.PLAIN.fullmatch
+        alone, apart, missing = {}, {}, set()
         for chunk in new:
-            if self.PLAIN.fullmatch(chunk) and "<|" not in chunk:
-                apart[chunk] = self.PARTS.findall(chunk.lower())
-            else:
+            if not plain(chunk) or "<|" in chunk:
                 self.chunks[chunk] = self._ids(chunk).tobytes()
-        self._learn_parts(list({p for parts in apart.values() for p in parts} - self.parts.keys()))
-        parts = self.parts
-        for chunk, own in apart.items():
-            self.chunks[chunk] = parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own])
+                continue
+            low = chunk.lower()
+            if low.isalpha():
+                alone[chunk] = low
+                if low not in parts:
+                    missing.add(low)
+            else:
+                own = apart[chunk] = tuple(self.PARTS.findall(low))
+                for part in own:
+                    if part not in parts:
+                        missing.add(part)
+        self._learn_parts(list(missing))
+        get = parts.__getitem__
+        self.chunks.update(zip(alone, map(get, alone.values()), strict=True))
+        self.chunks.update((chunk, b"".join(map(get, own))) for chunk, own in apart.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes an id."""
@@ -146,10 +157,13 @@ class TokenBytes:
                     del held[key]
         # str.split takes four control characters for white space that the vocabulary's pattern doesn't
         split = [t.split() if "\x1c" not in t and "\x1d" not in t and "\x1e" not in t and "\x1f" not in t else [x for x in self.HARD_SPACE.split(t) if x] for t in texts]
-        met = set()
-        for chunks in split:
-            met.update(chunks)
-        if new := met - self.chunks.keys():
-            self._learn(new)
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+        collects = gc.isenabled()
+        gc.disable()  # all that is made here is needed or freed at once; scans of it would cost as much as the work
+        try:
+            if new := set(chain.from_iterable(split)) - self.chunks.keys():
+                self._learn(new)
+            get = self.chunks.__getitem__
+            return [b"".join(map(get, chunks)) for chunks in split]
+        finally:
+            if collects:
+                gc.enable()
