@@ -44,7 +44,7 @@ def knapsack(values: np.ndarray) -> list[int]:
     return chosen
 
 
-def fractional(demand: np.ndarray, *, share: float = 0.5, eagerness: float = 4.0, rounds: int = 4000) -> dict[tuple[int, ...], float]:
+def fractional(demand: np.ndarray, *, share: float = 0.1, eagerness: float = 40.0, rounds: int = 6000) -> dict[tuple[int, ...], float]:
     """How often to use each way of filling a sequence, so that every size is covered as often as demanded.
 
     The dual prices start at the sizes themselves and fall exponentially in the share of the size's demand that is
@@ -69,13 +69,14 @@ def fractional(demand: np.ndarray, *, share: float = 0.5, eagerness: float = 4.0
     return used
 
 
-def plan(counts: dict[int, int], capacity: int, *, grain: int = 8, small: int = 64) -> tuple[list[tuple[int, int, int, int]], int]:
+def plan(counts: dict[int, int], capacity: int, *, grain: int = 8, small: int | None = None) -> tuple[list[tuple[int, int, int, int]], int]:
     """Runs (length, first rank, number, first sequence) that place every piece, and the number of sequences.
 
     Pieces of a length have ranks from 0; the i-th of a run goes to the i-th sequence from the run's first. The
     program counts lengths in units of ``capacity / (capacity // grain)`` tokens, rounded up; pieces of up to ``small``
-    tokens are left for the gaps.
+    tokens (a 64th of the capacity) are left for the gaps.
     """
+    small = capacity // 64 if small is None else small
     counts = {k: n for k, n in counts.items() if n}
     units = max(1, capacity // max(1, min(grain, capacity // 64 or 1)))
     unit = capacity / units
