@@ -6,8 +6,8 @@ leaves is verified on the shingles themselves.
 
 The tree is spread over the cluster by its top level. Two sets that are similar enough differ in a bounded number of
 shingles, so when shingles are dealt into more groups than that by hash, some group has the same content in both.
-Sets that agree on a group's content meet; what meets, directly or through others, is a family, and each family
-has its own tree. Families of more than ``tile`` sets are cut into tiles, joined by their components' smallest
+Sets that agree on a group's content meet; of those that meet, an R-tree finds which may be similar by the bound.
+What that connects, directly or through others, is a family, and each family has its own tree, whose pairs are verified. Families of more than ``tile`` sets are cut into tiles, joined by their components' smallest
 members first and then, where more than one component is left, tile by tile. So no pair of similar sets is missed,
 and sets already known to be connected are not compared again.
 """
@@ -27,6 +27,7 @@ SLACK = 2
 COORDINATES = 64
 FANOUT = 32
 ROWS_A_PART = 100_000
+MOST_MEETING = 1 << 16
 
 
 def shingles(text: str | None, words: int = 3) -> np.ndarray:
@@ -86,8 +87,22 @@ def signatures(x: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def point(x: np.ndarray) -> np.ndarray:
+    """Counts of the shingles by group."""
+    return np.bincount((x & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """A byte a coordinate, or four where one is too large."""
+    return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "u1" if len(raw) == COORDINATES else "<u4").astype(np.int32)
+
+
 def features(docs: DataFrame, *, id_col: str, text_col: str, percent: int, words: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set (null for an empty one), and the set's signatures."""
+    """doc_id, n_shingles, two hashes of the whole set (null for an empty one), the set's signatures and its point."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -97,16 +112,16 @@ def features(docs: DataFrame, *, id_col: str, text_col: str, percent: int, words
                     x = shingles(text, words)
                     if len(x):
                         keys = [int(mix64(x ^ np.uint64(s)).sum(dtype=np.uint64).view(np.int64)) for s in (0, 0x1234567)]
-                        rows.append((len(x), *keys, signatures(x, percent).view(np.int64)))
+                        rows.append((len(x), *keys, signatures(x, percent).view(np.int64), packed(point(x))))
                     else:
-                        rows.append((0, None, None, np.zeros(0, np.int64)))
-                out = pd.DataFrame(rows, columns=["n_shingles", "k1", "k2", "signatures"])
+                        rows.append((0, None, None, np.zeros(0, np.int64), b""))
+                out = pd.DataFrame(rows, columns=["n_shingles", "k1", "k2", "signatures", "point"])
                 out["k1"], out["k2"] = pd.array([r[1] for r in rows], "Int64"), pd.array([r[2] for r in rows], "Int64")
                 out["doc_id"] = pd.array([None if v is None else int(v) for v in ids], "Int64")
                 yield out
 
     rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "n_shingles long, k1 long, k2 long, signatures array<long>, doc_id long")
+    return rows.mapInPandas(run, "n_shingles long, k1 long, k2 long, signatures array<long>, point binary, doc_id long")
 
 
 def _each(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
@@ -178,27 +193,19 @@ def _below(at: np.ndarray, n: int) -> np.ndarray:
     return got[got < n]
 
 
-def link(sets: list[np.ndarray], nodes: list[int], known: list[int], tiles: list[int] | None, percent: int) -> list[tuple[int, int]]:
+def link(sets: list[np.ndarray] | None, vectors: np.ndarray, nodes: list[int], known: list[int], tiles: list[int] | None, percent: int) -> list[tuple[int, int]]:
     """Links (larger node, smaller node) that connect what is similar; pairs already connected are passed over.
 
-    ``known`` names the component that an item is in so far. With ``tiles``, items of one tile aren't compared.
+    ``known`` names the component that an item is in so far. With ``tiles``, items of one tile aren't compared. Without
+    ``sets`` the points' bound alone decides.
     """
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    n = len(sets)
+    n = len(nodes)
     names: dict = {}
     group = np.array([names.setdefault(k, len(names)) for k in known])
     left = len(names)
     if left < 2:
         return []
-    sizes = np.array([len(x) for x in sets])
-    vectors = np.array([np.bincount((x & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES) for x in sets], dtype=np.int32)
+    sizes = vectors.sum(1)
     tree = Tree(vectors, sizes)
     tile = np.zeros(n, np.int64) if tiles is None else np.array(tiles)
     in_tree, tile_in_tree = group[tree.order], tile[tree.order]
@@ -211,10 +218,10 @@ def link(sets: list[np.ndarray], nodes: list[int], known: list[int], tiles: list
             continue
         for at in tree.search(vectors[i], int(sizes[i]), percent, open_):
             j = tree.order[at]
-            if group[j] == group[i] or not len(sets[i]) or not len(sets[j]):
+            if group[j] == group[i] or not sizes[i] or not sizes[j]:
                 continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True)) if sets is not None else 0
+            if sets is None or 100 * both >= percent * (sizes[i] + sizes[j] - both):
                 found.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
                 group[group == group[j]] = group[i]
                 in_tree = group[tree.order]
@@ -233,7 +240,8 @@ def _linker(percent: int, words: int, by: list[str]):
         def done() -> Iterator[pd.DataFrame]:
             if len(held) > 1:
                 tiles = None if held[0][2] is None or held[0][2] < 0 else [h[2] for h in held]
-                if got := link([shingles(h[3], words) for h in held], [h[0] for h in held], [h[1] for h in held], tiles, percent):
+                sets = [shingles(h[3], words) for h in held]
+                if got := link(sets, np.array([point(x) for x in sets], dtype=np.int32), [h[0] for h in held], [h[1] for h in held], tiles, percent):
                     yield pd.DataFrame(got, columns=["a", "b"])
             held.clear()
 
@@ -248,6 +256,38 @@ def _linker(percent: int, words: int, by: list[str]):
     return run
 
 
+def _meeting(percent: int):
+    """Sorted rows (s, rep, point) to links between those of an ``s`` that may be similar by the bound."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, found = None, [], []
+
+        def done() -> None:
+            if len(held) == 2:
+                (a, x), (b, y) = held
+                if Tree._may(x, int(x.sum()), y[None], y[None].sum(1), percent)[0]:
+                    found.append((max(a, b), min(a, b)))
+            elif len(held) > 2:
+                nodes = [h[0] for h in held]
+                found.extend(link(None, np.array([h[1] for h in held]), nodes, nodes, None, percent))
+            held.clear()
+
+        for pdf in frames:
+            for s, rep, raw in zip(pdf.s.tolist(), pdf.rep.tolist(), pdf.point, strict=True):
+                if s != key:
+                    done()
+                    key = s
+                held.append((rep, unpacked(raw)))
+            if found:
+                yield pd.DataFrame(list(set(found)), columns=["a", "b"])
+                found.clear()
+        done()
+        if found:
+            yield pd.DataFrame(list(set(found)), columns=["a", "b"])
+
+    return run
+
+
 def _links(rows: DataFrame, by: list[str], percent: int, words: int) -> DataFrame:
     sorted_ = rows.select(*by, "node", "known", "tile", "text").repartition(*by).sortWithinPartitions(*by, "node")
     return sorted_.mapInPandas(_linker(percent, words, by), "a long, b long")
@@ -264,9 +304,15 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     prepare(spark)
     rows = cut(features(docs, id_col=id_col, text_col=text_col, percent=percent, words=words))
     usable = rows.where("doc_id is not null and k1 is not null")
-    sets = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signatures").alias("signatures"))
-    met = sets.select("rep", F.explode("signatures").alias("s")).withColumn("hub", F.expr("min(rep) over (partition by s)"))
-    families = cut(components(met.where("hub != rep").select(F.col("rep").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("root", "family"))
+    sets = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signatures").alias("signatures"), F.first("point").alias("point"))
+    by = "over (partition by s)"
+    met = sets.select("rep", F.explode("signatures").alias("s")).selectExpr("rep", "s", f"min(rep) {by} as hub", f"max(rep) {by} as last", f"count(*) {by} as n")
+    met = cut(met.where("hub != last").select("rep", "s", "hub", "n"))
+    # where few meet, the bound says who may be similar; where very many do, all go to one family
+    few = met.where(F.col("n") <= MOST_MEETING).select("rep", "s").join(sets.select("rep", "point"), "rep")
+    near = few.select("s", "rep", "point").repartition("s").sortWithinPartitions("s", "rep").mapInPandas(_meeting(percent), "a long, b long")
+    many = met.where((F.col("n") > MOST_MEETING) & (F.col("hub") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    families = cut(components(near.unionByName(many)).withColumnRenamed("root", "family"))
     sizes = families.groupBy("family").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     members = families.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
