@@ -8,6 +8,8 @@ span is verified by the share of the template's words that it holds and by its l
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -102,7 +104,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lea
 
     Base places are those where all words of a phrase stand in a row. A notice's span is verified if it holds the share ``least``
     of the notice's words within ``stretch`` times its length; of spans that overlap, those with fewer words than another
-    give no label. score is the largest share of any notice, 1 with a base place, else 0. Null and empty texts have no
+    (or as many, but a smaller share) give no label there, but the label of any span that is left counts. score is the largest share of any notice, 1 with a base place, else 0. Null and empty texts have no
     words; repeated rows give as many equal rows.
     """
     spark = docs.sparkSession
@@ -116,11 +118,12 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lea
     base = places.groupBy(*keys).agg(F.count("*").alias("n_base"), F.min("d").cast("long").alias("first_word"), F.max("d").cast("long").alias("last_word"), F.sort_array(F.collect_set("label")).alias("base"))
     spans = bands(found, keys=keys).withColumn("share", F.col("covered") / F.col("t_words"))
     good = spans.where((F.col("share") >= least) & (F.col("end") - F.col("start") <= F.ceil(F.col("t_words") * F.lit(stretch)) + 4))
-    # the best span of a label, so at most as many a document as there are labels
-    best = good.groupBy(*keys, "label").agg(F.max(F.struct("covered", "share", (-F.col("start")).alias("before"), "end")).alias("s"))
-    best = best.groupBy(*keys).agg(F.collect_list(F.struct("label", F.col("s.covered").alias("covered"), F.col("s.share").alias("share"), (-F.col("s.before")).alias("start"), F.col("s.end").alias("end"))).alias("spans"))
-    clear = F.filter("spans", lambda b: ~F.exists("spans", lambda c: (c["covered"] > b["covered"]) & (c["start"] < b["end"]) & (b["start"] < c["end"])))
-    best = best.select(*keys, F.transform(clear, lambda b: b["label"]).alias("more"), F.array_max(F.transform("spans", lambda b: b["share"])).alias("share"))
+    # a span's length is bounded, so are the spans that can overlap it: those that start within that length of its start
+    longest = max(math.ceil(len(text.split()) * stretch) + 4 for _, text in NOTICES)
+    near = Window.partitionBy(*keys).orderBy("start").rangeBetween(-longest, longest)
+    others = good.withColumn("near", F.collect_list(F.struct("covered", "share", "start", "end")).over(near))
+    clear = ~F.exists("near", lambda c: (F.struct(c["covered"], c["share"]) > F.struct("covered", "share")) & (c["start"] < F.col("end")) & (F.col("start") < c["end"]))
+    best = others.groupBy(*keys).agg(F.collect_set(F.when(clear, F.col("label"))).alias("more"), F.max("share").alias("share"))
     none = F.array().cast("array<string>")
     out = rows
     for side in (base, best):
