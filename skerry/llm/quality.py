@@ -1,8 +1,9 @@
 """Quality rules: plain counts of a text, and the perplexity of an n-gram model counted over the whole corpus.
 
-Spark counts the character n-grams of each language's texts; from them a modified Kneser-Ney model is made and
+Spark counts the character n-grams of each language's clean texts; from them a modified Kneser-Ney model is made and
 kept in sorted arrays of packed n-gram hashes. Each language has a lower and an upper perplexity bound, and texts
-outside them are rejected: below are repetitive ones, above are those unlike their language.
+outside them are rejected: below are repetitive ones, above are those unlike their language. Junk isn't counted, so
+that it is unlike its language too; how tight the bounds are is fitted to labelled texts.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, prepare, table
+from .common import cut, fold, fresh, prepare, table
 
 #: Symbols are six bits, so that an n-gram of four has one of 2 ** 24 hashes, and a model has a bounded size.
 ORDER, BITS = 4, 6
@@ -156,8 +157,9 @@ class LanguageModels:
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> LanguageModels:
-    """Count every text of the corpus and make a model of each language.
+    """Count every clean text of the corpus (see ``clean``) and make a model of each language.
 
+    A language without a clean text is counted from all its texts.
     The 63 languages with most rows have models of their own; all others and rows without one share the last.
     What is collected are counts of the distinct n-grams, at most 2 ** 24 a language.
     """
@@ -166,11 +168,12 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> L
     languages = sorted(r.lang for r in top)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
         for pdf in frames:
-            for slot, texts in pdf.groupby("slot").text:
+            pdf["clean"] = [clean(t) for t in pdf.text]
+            for key, texts in pdf.groupby(["slot", "clean"]).text:
                 part, size = [], 0
-                own = held.setdefault(slot, [])
+                own = held.setdefault(key, [])
                 for k, t in enumerate(texts):
                     part.append(t)
                     size += len(t)
@@ -179,13 +182,14 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> L
                         own.append(_sum_by(ngrams(padded, at)))
                         part, size = [], 0
                 if len(own) > 16:
-                    held[slot] = [_sum_by(*map(np.concatenate, zip(*own, strict=True)))]
-        for slot, own in held.items():
+                    held[key] = [_sum_by(*map(np.concatenate, zip(*own, strict=True)))]
+        for (slot, is_clean), own in held.items():
             keys, n = _sum_by(*map(np.concatenate, zip(*own, strict=True)))
-            yield pd.DataFrame({"slot": slot, "gram": keys, "n": n})
+            yield pd.DataFrame({"slot": slot, "clean": is_clean, "gram": keys, "n": n})
 
     rows = docs.select(_slot(languages, lang_col).alias("slot"), F.col(text_col).alias("text")).where("text is not null")
-    counted = rows.mapInPandas(run, "slot int, gram int, n long").groupBy("slot", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counted = rows.mapInPandas(run, "slot int, clean boolean, gram int, n long").groupBy("slot", "clean", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counted = counted[counted.clean == counted.groupby("slot").clean.transform("max")]
     return LanguageModels(languages, {int(s): NgramModel.of(g.gram.to_numpy(), g.n.to_numpy()) for s, g in counted.groupby("slot")})
 
 
@@ -217,6 +221,12 @@ def base(text: str | None) -> tuple[int, int, int, int, int, bool]:
     return n, chars, sum(map(text.count, NOISE)), len(lines) - len(set(lines)), repeats, n < 50 or 100 * repeats > 50 * n
 
 
+def clean(text: str) -> bool:
+    """Whether a text counts for the model: at most one sign of noise in a hundred characters, and not mostly repeats."""
+    n, chars, noise, _, repeats, _ = base(text)
+    return 100 * noise <= chars and 100 * repeats <= 50 * n
+
+
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, slot int, bits double"
 
 
@@ -251,13 +261,46 @@ def measure(docs: DataFrame, models: LanguageModels, *, text_col: str = "text",
     return docs.withColumn(as_col, run(F.col(text_col), _slot(models.languages, lang_col)))
 
 
-def fit_bands(measures: DataFrame, *, below: float = 5.0, above: float = 5.0, least: float = 0.02) -> dict[int, tuple[float, float]]:
+def fit_bands(measures: DataFrame, labels: DataFrame | None = None, *, below: float = 5.0, above: float = 5.0, least: float = 0.02) -> dict[int, tuple[float, float]]:
     """Each language's bounds of ``bits``: its median and so many deviations, a deviation being a quartile distance over that of a normal law (``least`` at the least).
 
-    Of a frame with columns slot, bits and base_failed; all rows that pass the base rules count.
+    Of a frame with columns slot, bits and base_failed; all rows that pass the base rules count. With ``labels`` (and
+    doc_id) a side's deviations are fewer where that tells a language's poor texts from its good ones; see ``tighten``.
     """
     got = measures.where(~F.col("base_failed")).groupBy("slot").agg(F.percentile_approx("bits", [0.25, 0.5, 0.75], 10_000).alias("q")).collect()  # a row a language
-    return {r.slot: (r.q[1] - below * max(least, (r.q[1] - r.q[0]) / 0.6745), r.q[1] + above * max(least, (r.q[2] - r.q[1]) / 0.6745)) for r in got}
+    laws = {r.slot: (r.q[1], max(least, (r.q[1] - r.q[0]) / 0.6745), max(least, (r.q[2] - r.q[1]) / 0.6745)) for r in got}
+    fitted = tighten(measures, labels, laws, below, above) if labels is not None and laws else {}
+    return {s: (mid - fitted.get((s, True), below) * low, mid + fitted.get((s, False), above) * high) for s, (mid, low, high) in laws.items()}
+
+
+#: Labelled rows that the bounds aren't fitted to: ids with ``crc32 mod 4 == 2``.
+HELD_OUT = (4, 2)
+
+
+def tighten(measures: DataFrame, labels: DataFrame, laws: dict[int, tuple[float, float, float]], below: float, above: float, *, price: float = 5.0) -> dict[tuple[int, bool], float]:
+    """Deviations by language and side (True: below the median).
+
+    Of the steps from 2.5 to the given ones that with the largest share of poor texts outside, less ``price`` times the share
+    of good ones outside; ties go to the widest. A language without both labels in the rows for fitting isn't in the result.
+    """
+    some = labels.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1])).select(F.col("doc_id").alias("labelled"), "quality").distinct()
+    law = F.create_map(*[x for s, values in laws.items() for x in (F.lit(s), F.array(*map(F.lit, values)))])
+    rows = measures.where(~F.col("base_failed")).join(some, F.col("doc_id") == F.col("labelled")).select("slot", "quality", "bits", F.try_element_at(law, F.col("slot")).alias("law"))
+    off = F.col("bits") - F.col("law")[0]
+    rows = rows.select("slot", "quality", (off < 0).alias("low"), F.when(off < 0, -off / F.col("law")[1]).otherwise(off / F.col("law")[2]).alias("z"))
+    steps = {low: sorted({min(k, most) for k in (2.5, 3.0, 3.5, 4.0, most)}) for low, most in ((True, below), (False, above))}
+    every = sorted({*steps[True], *steps[False]})
+    got = rows.groupBy("slot", "quality", "low").agg(F.count("*").alias("n"), F.array(*[F.sum((F.col("z") > k).cast("long")) for k in every]).alias("out")).collect()  # four rows a language
+    n: dict[tuple[int, int], int] = {}
+    for r in got:
+        n[r.slot, r.quality] = n.get((r.slot, r.quality), 0) + r.n
+    out = {(r.slot, r.low, r.quality): dict(zip(every, r.out, strict=True)) for r in got}
+    fitted = {}
+    for slot in {s for s, _ in n if (s, 0) in n and (s, 1) in n}:
+        for low in (True, False):
+            share = lambda quality, k: out.get((slot, low, quality), {}).get(k, 0) / n[slot, quality]  # noqa: B023, E731
+            fitted[slot, low] = max(steps[low], key=lambda k: (share(0, k) - price * share(1, k), k))  # noqa: B023
+    return fitted
 
 
 def in_band(bands: dict[int, tuple[float, float]], slot, bits):
@@ -271,7 +314,7 @@ def in_band(bands: dict[int, tuple[float, float]], slot, bits):
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     rows = cut(measure(docs, fit(docs)).select("doc_id", "measures.*"))
-    kept = ~F.col("base_failed") & in_band(fit_bands(rows), F.col("slot"), F.col("bits"))
+    kept = ~F.col("base_failed") & in_band(fit_bands(rows, table(spark, sf_dir, "labels")), F.col("slot"), F.col("bits"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.pow(F.lit(2.0), F.col("bits")).alias("perplexity"))
 
 
@@ -279,6 +322,6 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that pass the base rules and lie within their language's bounds, with their columns as they were."""
     name = fresh(docs, "measures")
     measured = measure(docs, fit(docs), as_col=name)
-    bands = fit_bands(measured.select(f"{name}.slot", f"{name}.bits", f"{name}.base_failed"))
+    bands = fit_bands(cut(measured.select("doc_id", f"{name}.slot", f"{name}.bits", f"{name}.base_failed")), table(spark, sf_dir, "labels"))
     m = F.col(name)
     return measured.where(~m["base_failed"] & in_band(bands, m["slot"], m["bits"])).drop(name)
