@@ -54,12 +54,12 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def fit_words(texts: list[set[str]], labels: np.ndarray, *, swap_penalty: float = 4.0, sparsity: float = 1.2, ridge: float = 2e-4, least_df: int = 3, least_share: float = 1 / 400, rounds: int = 250) -> ToxicityModel:
+def fit_words(texts: list[set[str]], labels: np.ndarray, *, swap_penalty: float = 4.0, sparsity: float = 1.2, ridge: float = 2e-4, least_df: int = 3, rounds: int = 250) -> ToxicityModel:
     """Fit on sets of words and 0/1 labels: accelerated proximal gradient with an L1 penalty to choose words, then again without it on those words.
 
     ``sparsity`` is in units of the largest slope that chance alone would give any of the words, so it needs no
-    tuning to the number of rows. Words in fewer than ``least_df`` texts or that share of them get no weight, but
-    for identity terms. No rows give a model that scores 0 everywhere; one class alone gives its constant rate
+    tuning to the number of rows. Words in fewer than ``least_df`` texts get no weight, but for
+    identity terms; the floor is the same for any number of rows, so a small language's words stay. No rows give a model that scores 0 everywhere; one class alone gives its constant rate
     (kept off 0 and 1).
     """
     n = len(texts)
@@ -75,7 +75,7 @@ def fit_words(texts: list[set[str]], labels: np.ndarray, *, swap_penalty: float
     for words in texts:
         for w in words:
             df[w] = df.get(w, 0) + 1
-    names = sorted(w for w, k in df.items() if k >= max(least_df, least_share * n) or w in identity)
+    names = sorted(w for w, k in df.items() if k >= least_df or w in identity)
     at = {w: i for i, w in enumerate(names)}
     cols = [np.fromiter((at[w] for w in words if w in at), np.int64) for words in texts]
     row = np.repeat(np.arange(n), [len(c) for c in cols])
