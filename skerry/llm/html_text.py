@@ -41,10 +41,11 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
-    __slots__ = ("bonus", "chars", "children", "direct", "link_chars", "links", "out", "parent", "points", "tag")
+    __slots__ = ("article", "bonus", "chars", "children", "direct", "link_chars", "links", "out", "parent", "points", "tag")
 
     def __init__(self, tag: str, parent: Node | None, out: bool = False, bonus: float = 0.0):
         self.tag, self.parent, self.out, self.bonus = tag, parent, out, bonus
+        self.article = tag == "article" or parent is not None and parent.article
         self.children: list[Node | str] = []
         self.chars = self.link_chars = self.links = 0
         self.direct: list[str] = []
@@ -229,7 +230,8 @@ def _kept(nodes: list[Node]) -> list[Node]:
 
 
 def _link_list(node: Node) -> bool:
-    return node.tag in ("ul", "ol", "dl", "table", "div", "section") and node.links >= 3 and _density(node) > 0.66
+    """Of a page's own elements, a list that is mostly links; named ones are out already, and an article's are part of it."""
+    return not node.article and node.tag in ("ul", "ol", "dl", "table", "div", "section") and node.links >= 3 and _density(node) > 0.66
 
 
 def blocks(kept: list[Node]) -> list[str]:
@@ -250,7 +252,7 @@ def blocks(kept: list[Node]) -> list[str]:
                 flush()
             elif type(x) is str:
                 inline.append(x)
-            elif not x.out and not (x is not top and _link_list(x)):
+            elif not x.out and not (top.tag in ("body", "html", "#root") and x is not top and _link_list(x)):
                 if x.tag in BLOCKS:
                     flush()
                     todo.append(None)
