@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
 import tempfile
-from itertools import chain, filterfalse
+from collections.abc import Callable, Iterator
+from functools import wraps
+from itertools import chain, filterfalse, islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +20,18 @@ from pyspark.sql import functions as F
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of whole texts that go to a Python worker at once.
+ROWS_A_BATCH = 512
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, and make sure that a checkpoint folder is known.
+    """Let Python workers import this package, see to it that they get texts in small batches, and that a checkpoint folder is known.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset (as in tests) is one made.
     """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ROWS_A_BATCH:
+        spark.conf.set(rows, str(ROWS_A_BATCH))
     sc = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = sc.environment.get("PYTHONPATH", "")
@@ -54,6 +65,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def absent(df: DataFrame, name: str) -> None:
+    """Raises if the frame has a column of that name (Spark compares them without case)."""
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"the frame has a column {name!r} already; give another name")
+
+
 def fold(column: Column, modulus: int) -> Column:
     """crc32 of the value as text, modulo; null for null."""
     return F.crc32(column.cast("string")) % F.lit(modulus)
@@ -78,17 +95,42 @@ def slices(sizes: list[int], most: int):
         yield start, len(sizes)
 
 
+def tidy() -> None:
+    """Give back what this process has freed: workers are used again, and would keep the most that any task needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidily(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function from frames to frames that leaves the worker's memory as small as it can."""
+
+    @wraps(run)
+    def whole(frames):
+        try:
+            yield from run(frames)
+        finally:
+            TokenBytes.trim()
+            tidy()
+
+    return whole
+
+
 class TokenBytes:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, equal to ``Tokenizer.encode``.
 
     White space ends every token of the vocabulary used here (its normaliser and its pre-tokeniser work within
-    runs of other characters), so a text's ids are those of its space-separated chunks in turn. Each worker keeps
-    the bytes of the chunks it has met in bounded dictionaries; what is evicted is encoded again when needed.
+    runs of other characters), so a text's ids are those of its space-separated chunks in turn. A worker keeps
+    the bytes of the chunks it has met in bounded dictionaries, and after a task only the first of them, which are
+    the frequent ones; what is evicted is encoded again when needed.
     Chunks of plain letters, digits and signs are taken apart as the pre-tokeniser does, and new letter runs are
     encoded together; any other chunk goes to the library as it is.
     """
 
-    MOST = 600_000
+    MOST, AFTER = 400_000, 80_000
+    LONGEST = 64
     PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
     PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
     HARD_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
@@ -111,6 +153,18 @@ class TokenBytes:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
+    @classmethod
+    def trim(cls) -> None:
+        """Between tasks: a few megabytes stay."""
+        for own in cls._kept.values():
+            own._evict(cls.AFTER, cls.AFTER)
+
+    def _evict(self, most: int, rest: int) -> None:
+        for name in ("chunks", "parts"):
+            held = getattr(self, name)
+            if len(held) > most:  # the newest go: frequent words are met early; a new dictionary, as an old one doesn't shrink
+                setattr(self, name, {k: held[k] for k in islice(held, rest) if len(k) <= self.LONGEST})
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
@@ -151,10 +205,7 @@ class TokenBytes:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes an id."""
-        for held in (self.chunks, self.parts):
-            if len(held) > self.MOST:
-                for _ in range(len(held) // 2):  # the newest: frequent words are met early
-                    held.popitem()
+        self._evict(self.MOST, self.MOST // 2)
         # str.split takes four control characters for white space that the vocabulary's pattern doesn't
         split = [t.split() if "\x1c" not in t and "\x1d" not in t and "\x1e" not in t and "\x1f" not in t else [x for x in self.HARD_SPACE.split(t) if x] for t in texts]
         collects = gc.isenabled()

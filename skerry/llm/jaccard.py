@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, prepare, table
+from .common import cut, fresh, mix64, prepare, table, tidily
 
 SLACK = 2
 COORDINATES = 64
@@ -121,7 +121,7 @@ def features(docs: DataFrame, *, id_col: str, text_col: str, percent: int, words
                 yield out
 
     rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "n_shingles long, k1 long, k2 long, signatures array<long>, point binary, doc_id long")
+    return rows.mapInPandas(tidily(run), "n_shingles long, k1 long, k2 long, signatures array<long>, point binary, doc_id long")
 
 
 def _each(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
@@ -290,7 +290,7 @@ def _meeting(percent: int):
 
 def _links(rows: DataFrame, by: list[str], percent: int, words: int) -> DataFrame:
     sorted_ = rows.select(*by, "node", "known", "tile", "text").repartition(*by).sortWithinPartitions(*by, "node")
-    return sorted_.mapInPandas(_linker(percent, words, by), "a long, b long")
+    return sorted_.mapInPandas(tidily(_linker(percent, words, by)), "a long, b long")
 
 
 def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = 5, tile: int = 2048) -> DataFrame:
@@ -310,7 +310,7 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     met = cut(met.where("hub != last").select("rep", "s", "hub", "n"))
     # where few meet, the bound says who may be similar; where very many do, all go to one family
     few = met.where(F.col("n") <= MOST_MEETING).select("rep", "s").join(sets.select("rep", "point"), "rep")
-    near = few.select("s", "rep", "point").repartition("s").sortWithinPartitions("s", "rep").mapInPandas(_meeting(percent), "a long, b long")
+    near = few.select("s", "rep", "point").repartition("s").sortWithinPartitions("s", "rep").mapInPandas(tidily(_meeting(percent)), "a long, b long")
     many = met.where((F.col("n") > MOST_MEETING) & (F.col("hub") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     families = cut(components(near.unionByName(many)).withColumnRenamed("root", "family"))
     sizes = families.groupBy("family").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
@@ -351,9 +351,17 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str, *, percent: int = 80, words: int = 5) -> DataFrame:
     """One document of each class, the one of the smallest id, with its columns; rows without an id all stay.
 
-    Of rows that share an id one stays.
+    Rows that share an id and a text are one document, of which the row that sorts first by hash stays. Texts without
+    words are in no class but their own. Rows that share an id but not a text are in one class, as their id is; the
+    first of them by the text's hash stays for it, the same in each run. An empty table gives no rows.
     """
     classes_ = join_similar(docs, percent=percent, words=words)
-    kept = classes_.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    chosen = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where(F.col("doc_id").isNull()))
+    key, place = fresh(docs, "kept_id"), fresh(docs, "kept_place")
+    kept = classes_.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    chosen = docs.join(kept, F.col("doc_id") == F.col(key), "left_semi")
+    # a window only over ids that several rows have: whole rows aren't shuffled for the rest
+    again = chosen.groupBy("doc_id").agg(F.count("*").alias(place)).where(F.col(place) > 1).select(F.col("doc_id").alias(key))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns)))
+    several = chosen.join(again, F.col("doc_id") == F.col(key), "left_semi").withColumn(place, first).where(F.col(place) == 1).drop(place)
+    single = chosen.join(again, F.col("doc_id") == F.col(key), "left_anti")
+    return single.unionByName(several).unionByName(docs.where(F.col("doc_id").isNull()))

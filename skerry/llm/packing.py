@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import TokenBytes, cut, prepare, slices, table
+from .common import TokenBytes, cut, prepare, slices, table, tidily
 
 
 def knapsack(values: np.ndarray) -> list[int]:
@@ -186,7 +186,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(tidily(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def assign(rows: DataFrame, *, length_col: str = "length", order: tuple[str | Column, ...] = (), capacity: int = 4096, rows_a_bucket: int = 20_000) -> DataFrame:

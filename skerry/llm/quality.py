@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fold, fresh, prepare, table
+from .common import cut, fold, fresh, prepare, table, tidily, tidy
 
 #: Symbols are six bits, so that an n-gram of four has one of 2 ** 24 hashes, and a model has a bounded size.
 ORDER, BITS = 4, 6
@@ -188,9 +188,12 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> L
             yield pd.DataFrame({"slot": slot, "clean": is_clean, "gram": keys, "n": n})
 
     rows = docs.select(_slot(languages, lang_col).alias("slot"), F.col(text_col).alias("text")).where("text is not null")
-    counted = rows.mapInPandas(run, "slot int, clean boolean, gram int, n long").groupBy("slot", "clean", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counted = rows.mapInPandas(tidily(run), "slot int, clean boolean, gram int, n long").groupBy("slot", "clean", "gram").agg(F.sum("n").alias("n")).toPandas()
     counted = counted[counted.clean == counted.groupby("slot").clean.transform("max")]
-    return LanguageModels(languages, {int(s): NgramModel.of(g.gram.to_numpy(), g.n.to_numpy()) for s, g in counted.groupby("slot")})
+    models = LanguageModels(languages, {int(s): NgramModel.of(g.gram.to_numpy(), g.n.to_numpy()) for s, g in counted.groupby("slot")})
+    del counted
+    tidy()
+    return models
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -236,8 +239,7 @@ def measure(docs: DataFrame, models: LanguageModels, *, text_col: str = "text",
     prepare(spark)
     shared = spark.sparkContext.broadcast(models)
 
-    @F.pandas_udf(MEASURES)
-    def run(texts: pd.Series, slots: pd.Series) -> pd.DataFrame:
+    def measures(texts: pd.Series, slots: pd.Series) -> pd.DataFrame:
         texts = [t or "" for t in texts]
         out = pd.DataFrame([base(t) for t in texts], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"])
         bits = np.zeros(len(texts))
@@ -258,6 +260,10 @@ def measure(docs: DataFrame, models: LanguageModels, *, text_col: str = "text",
         out["slot"], out["bits"] = slots.to_numpy(), bits
         return out
 
+    @F.pandas_udf(MEASURES)
+    def run(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        yield from tidily(lambda rows: (measures(*x) for x in rows))(frames)
+
     return docs.withColumn(as_col, run(F.col(text_col), _slot(models.languages, lang_col)))
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TokenBytes, cut, prepare, shared_folder, slices, table
+from .common import TokenBytes, cut, prepare, shared_folder, slices, table, tidily
 from .packing import word_bpe
 
 #: Written files hold ids plus one, so that 0 is free to end documents, and before each document's ids its own id.
@@ -71,7 +71,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: s
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # ids stay exact where nulls would make pandas use floats
-    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "value binary")
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(tidily(run), "value binary")
     rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0\0").option("maxRecordsPerFile", most_rows).text(folder)
 
 

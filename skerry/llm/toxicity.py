@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, fresh, prepare, table
+from .common import absent, fold, fresh, prepare, table, tidily, tidy
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -54,7 +55,7 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def fit_words(texts: list[set[str]], labels: np.ndarray, *, swap_penalty: float = 4.0, sparsity: float = 1.2, ridge: float = 2e-4, least_df: int = 3, rounds: int = 250) -> ToxicityModel:
+def fit_words(texts: Iterable[set[str]], labels: np.ndarray, *, swap_penalty: float = 4.0, sparsity: float = 1.2, ridge: float = 2e-4, least_df: int = 3, rounds: int = 250) -> ToxicityModel:
     """Fit on sets of words and 0/1 labels: accelerated proximal gradient with an L1 penalty to choose words, then again without it on those words.
 
     ``sparsity`` is in units of the largest slope that chance alone would give any of the words, so it needs no
@@ -62,7 +63,9 @@ def fit_words(texts: list[set[str]], labels: np.ndarray, *, swap_penalty: float
     identity terms; the floor is the same for any number of rows, so a small language's words stay. No rows give a model that scores 0 everywhere; one class alone gives its constant rate
     (kept off 0 and 1).
     """
-    n = len(texts)
+    ids: dict[str, int] = {}
+    held = [np.sort(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32)) for words in texts]  # words as numbers: a set of strings is thirty times as large
+    n = len(held)
     if not n:
         return ToxicityModel()
     rate = (float(labels.sum()) + 0.5) / (n + 1)
@@ -71,21 +74,22 @@ def fit_words(texts: list[set[str]], labels: np.ndarray, *, swap_penalty: float
         return ToxicityModel({}, base)
     kinds = [line.split() for line in IDENTITY_TERMS]
     identity = {t for kind in kinds for t in kind}
-    df: dict[str, int] = {}
-    for words in texts:
-        for w in words:
-            df[w] = df.get(w, 0) + 1
-    names = sorted(w for w, k in df.items() if k >= least_df or w in identity)
+    df = np.bincount(np.concatenate(held), minlength=len(ids)) if ids else np.zeros(0, np.int64)
+    names = sorted(w for w, k in ids.items() if df[k] >= least_df or w in identity)
     at = {w: i for i, w in enumerate(names)}
-    cols = [np.fromiter((at[w] for w in words if w in at), np.int64) for words in texts]
+    place_of = np.full(len(ids), -1, np.int64)
+    place_of[[ids[w] for w in names]] = np.arange(len(names))
+    cols = [c[c >= 0] for c in (place_of[words] for words in held)]
     row = np.repeat(np.arange(n), [len(c) for c in cols])
     col = np.concatenate(cols) if cols else np.zeros(0, np.int64)
     # the swaps: each occurrence of a term, exchanged for every other one of its kind; one row of differences a swap
     terms = [t for t in names if t in identity]
     place = {t: i for i, t in enumerate(terms)}
     change, swaps = np.zeros((len(terms), len(terms))), 0
-    for words in texts:
-        for kind in kinds:
+    term_at = {at[t]: t for t in terms}
+    for own in cols:
+        words = {term_at[c] for c in own.tolist() if c in term_at}
+        for kind in kinds if words else ():
             for a in kind:
                 if a in words:
                     for b in kind:
@@ -132,10 +136,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Fit on at most ``most_rows`` labelled rows, the first by a hash of their id (ids with ``crc32 mod held_out[0] == held_out[1]`` are left out).
 
     Rows without an id, a label of 0 or 1, or a document are passed over; a null text has no words. An id with
-    several labels or texts gives a row for each pair.
+    several labels or texts gives a row for each different pair, of all of which again the first ``most_rows`` count.
     """
     prepare(docs.sparkSession)
-    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").distinct()
     if held_out:
         rows = rows.where(fold(F.col("id"), held_out[0]) != held_out[1])
     some = rows.orderBy(F.xxhash64("id"), "id", "y").limit(most_rows)  # bounded, so it may be broadcast
@@ -143,10 +147,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     def distinct(frames):
         for pdf in frames:
-            yield pd.DataFrame({"y": pdf.y, "words": [" ".join(sorted(words_of(t))) for t in pdf.text]})
+            yield pd.DataFrame({"h": pdf.h, "y": pdf.y, "words": [" ".join(sorted(words_of(t))) for t in pdf.text]})
 
-    got = seen.select("y", "text").mapInPandas(distinct, "y int, words string").toPandas().sort_values(["words", "y"])
-    return fit_words([set(w.split()) for w in got.words], got.y.to_numpy(float), **options)
+    pairs = seen.select(F.xxhash64("id").alias("h"), "y", "text").mapInPandas(tidily(distinct), "h long, y int, words string").distinct()
+    got = pairs.orderBy("h", "y", "words").limit(most_rows).select("y", "words").toPandas()
+    order = np.lexsort((got.y.to_numpy(), pd.factorize(got.words, sort=True)[0]))
+    labels_, words = got.y.to_numpy(float)[order], got.words.to_numpy()[order]
+    del got
+    model = fit_words((set(w.split()) for w in words), labels_, **options)
+    tidy()
+    return model
 
 
 def score_column(spark: SparkSession, model: ToxicityModel):
@@ -154,16 +164,24 @@ def score_column(spark: SparkSession, model: ToxicityModel):
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
+    def run(frames):
         m = shared.value
-        return pd.Series([m.score(t) for t in texts], dtype="float64")
+        for texts in frames:
+            yield pd.Series([m.score(t) for t in texts], dtype="float64")
+
+    @F.pandas_udf(T.DoubleType())
+    def score(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidily(run)(frames)
 
     return score
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", as_col: str = "score") -> DataFrame:
-    """The frame with one more column, the score of each whole text (the bias alone for null or empty ones)."""
+    """The frame with one more column, the score of each whole text (the bias alone for null or empty ones).
+
+    A repeated row is scored as often. A column that is there already raises.
+    """
+    absent(docs, as_col)
     return docs.withColumn(as_col, score_column(docs.sparkSession, model)(F.col(text_col)))
 
 
@@ -179,6 +197,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, *, threshold: float = 0.3) -> DataFrame:
-    """The rows whose score is below the threshold, with their columns as they were."""
+    """The rows whose score is below the threshold, with their columns as they were.
+
+    A null or empty text has the score of the bias alone. Repeated rows stay or go together; an empty table stays empty.
+    """
     name = fresh(docs, "score")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")), as_col=name).where(F.col(name) < threshold).drop(name)
