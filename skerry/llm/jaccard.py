@@ -2,14 +2,16 @@
 
 A text's shingles are hashed into groups. Its counts by group are a point, and two texts share no more shingles
 than the sum over the groups of the smaller count; an R-tree over the points prunes by that bound, and what it
-leaves is verified on the shingles themselves.
+leaves is verified on the shingles themselves. Larger sets have more coordinates, so that the bound tells unlike sets
+of any size apart.
 
 The tree is spread over the cluster by its top level. Two sets that are similar enough differ in a bounded number of
 shingles, so when shingles are dealt into more groups than that by hash, some group has the same content in both.
-Sets that agree on a group's content meet; of those that meet, an R-tree finds which may be similar by the bound.
-What that connects, directly or through others, is a family, and each family has its own tree, whose pairs are verified. Families of more than ``tile`` sets are cut into tiles, joined by their components' smallest
-members first and then, where more than one component is left, tile by tile. So no pair of similar sets is missed,
-and sets already known to be connected are not compared again.
+Sets that agree on a group's content meet; meetings of the same sets count once. Among those that meet, an R-tree finds
+which may be similar by the bound. What that connects, directly or through others, is a family, whose pairs are verified
+by a tree of its own. Meetings and families of more than ``tile`` sets are cut into tiles by size and hash; only tiles
+whose sizes allow similar sets are brought together, two by two: the points of a meeting, and the texts of
+a family only where its tiles' own links leave it in pieces. So no pair of similar sets is missed, and no group is one task's.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, mix64, prepare, table, tidily
 
 SLACK = 2
-COORDINATES = 64
+#: Coordinates of a point: powers of two, about a fourth of the set's size, so that unlike sets differ in enough of them.
+LEAST_COORDINATES, MOST_COORDINATES = 64, 4096
 FANOUT = 32
+BLOCK = 1 << 22  # counts compared at once
 ROWS_A_PART = 100_000
-MOST_MEETING = 1 << 16
+PARTS_A_BAND = 1 << 24
 
 
 def shingles(text: str | None, words: int = 3) -> np.ndarray:
@@ -87,18 +91,31 @@ def signatures(x: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def point(x: np.ndarray) -> np.ndarray:
-    """Counts of the shingles by group."""
-    return np.bincount((x & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES)
+def coordinates(n: int) -> int:
+    """How many coordinates the point of a set of n shingles has."""
+    return min(MOST_COORDINATES, max(LEAST_COORDINATES, 1 << max(0, n // 4 - 1).bit_length()))
+
+
+def point(x: np.ndarray, dim: int | None = None) -> np.ndarray:
+    """Counts of the shingles by group; the groups of fewer coordinates are unions of those of more."""
+    dim = dim or coordinates(len(x))
+    return np.bincount((x & np.uint64(dim - 1)).astype(np.int64), minlength=dim).astype(np.int32)
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """A byte a coordinate, or four where one is too large."""
-    return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
+    """The size of a count (one byte, or four where a count is too large), and the counts."""
+    small = counts.max() < 256
+    return (b"\1" if small else b"\4") + counts.astype("u1" if small else "<u4").tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "u1" if len(raw) == COORDINATES else "<u4").astype(np.int32)
+    return np.frombuffer(raw, "u1" if raw[0] == 1 else "<u4", offset=1).astype(np.int32)
+
+
+def folded(points: list[np.ndarray]) -> np.ndarray:
+    """The points with the coordinates that the smallest of them has."""
+    dim = min(map(len, points))
+    return np.array([p if len(p) == dim else p.reshape(-1, dim).sum(0) for p in points], dtype=np.int32)
 
 
 def features(docs: DataFrame, *, id_col: str, text_col: str, percent: int, words: int) -> DataFrame:
@@ -172,6 +189,25 @@ class Tree:
             top, least = np.maximum.reduceat(top, cuts), np.minimum.reduceat(least, cuts)
             self.levels.append((top, least))
 
+    def join(self, percent: int) -> np.ndarray:
+        """Which pairs of items may be similar by the bound, in the order that the items were given in: leaf by leaf, against the leaves that may hold any."""
+        n = len(self.sizes)
+        cuts = np.arange(0, n, FANOUT)
+        small = self.vectors.astype("u1") if n and self.vectors.max() < 256 else self.vectors
+        top, least, most = (f.reduceat(x, cuts) for f, x in ((np.maximum, self.vectors), (np.minimum, self.sizes), (np.maximum, self.sizes))) if n else (self.vectors, self.sizes, self.sizes)
+        step = max(1, BLOCK // (FANOUT * FANOUT * max(1, self.vectors.shape[1])))
+        near = np.zeros((n, n), bool)
+        for a, at in enumerate(cuts):
+            own = small[at : at + FANOUT]
+            others = a + np.flatnonzero(self._may(top[a], least[a], top[a:], least[a:], percent) & (percent * least[a:] <= 100 * most[a]) & (percent * least[a] <= 100 * most[a:]))
+            for k in range(0, len(others), step):
+                items = _below(others[k : k + step], n)
+                both = np.minimum(own[:, None], small[items]).sum(2, dtype=np.int32)
+                near[at : at + FANOUT, items] = (100 + percent) * both >= percent * (self.sizes[at : at + FANOUT, None] + self.sizes[items])
+        near |= near.T
+        back = np.argsort(self.order)
+        return near[np.ix_(back, back)]
+
     def search(self, vector: np.ndarray, size: int, percent: int, open_: np.ndarray) -> np.ndarray:
         """Items that may be similar by the bound; ``open_`` masks those in question (in the tree's order)."""
         at = None
@@ -207,17 +243,19 @@ def link(sets: list[np.ndarray] | None, vectors: np.ndarray, nodes: list[int], k
         return []
     sizes = vectors.sum(1)
     tree = Tree(vectors, sizes)
-    tile = np.zeros(n, np.int64) if tiles is None else np.array(tiles)
-    in_tree, tile_in_tree = group[tree.order], tile[tree.order]
+    if sets is None and tiles is None:
+        return [(max(nodes[i], nodes[j]), min(nodes[i], nodes[j])) for i, j in _stars(tree.join(percent))]
+    near = tree.join(percent) if tiles is None else None
+    tile = None if tiles is None else np.array(tiles)
+    in_tree, tile_in_tree = group[tree.order], None if tile is None else tile[tree.order]
     found = []
     for i in range(n):
-        open_ = in_tree != group[i]
-        if tiles is not None:
-            open_ &= tile_in_tree != tile[i]
-        if not open_.any():
-            continue
-        for at in tree.search(vectors[i], int(sizes[i]), percent, open_):
-            j = tree.order[at]
+        if near is not None:
+            may = np.flatnonzero(near[i] & (group != group[i]))
+        else:
+            open_ = (in_tree != group[i]) & (tile_in_tree != tile[i])
+            may = tree.order[tree.search(vectors[i], int(sizes[i]), percent, open_)] if open_.any() else ()
+        for j in may:
             if group[j] == group[i] or not sizes[i] or not sizes[j]:
                 continue
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True)) if sets is not None else 0
@@ -231,17 +269,31 @@ def link(sets: list[np.ndarray] | None, vectors: np.ndarray, nodes: list[int], k
     return found
 
 
+def _stars(near: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that connect what a symmetric matrix connects: each item with the first of its component."""
+    left, pairs = np.ones(len(near), bool), []
+    for i in range(len(near)):
+        if left[i]:
+            left[i] = False
+            todo = np.flatnonzero(near[i] & left)
+            while len(todo):
+                left[todo] = False
+                pairs += [(i, j) for j in todo.tolist()]
+                todo = np.flatnonzero(near[todo].any(0) & left)
+    return pairs
+
+
 def _linker(percent: int, words: int, by: list[str]):
-    """Groups of sorted rows (columns ``by``, node, known, tile or null, text) to the links in each."""
+    """Groups of sorted rows (columns ``by``, node, known, tile or -1, text) to the links in each."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, []
 
         def done() -> Iterator[pd.DataFrame]:
             if len(held) > 1:
-                tiles = None if held[0][2] is None or held[0][2] < 0 else [h[2] for h in held]
+                tiles = None if held[0][2] < 0 else [h[2] for h in held]
                 sets = [shingles(h[3], words) for h in held]
-                if got := link(sets, np.array([point(x) for x in sets], dtype=np.int32), [h[0] for h in held], [h[1] for h in held], tiles, percent):
+                if got := link(sets, folded([point(x) for x in sets]), [h[0] for h in held], [h[1] for h in held], tiles, percent):
                     yield pd.DataFrame(got, columns=["a", "b"])
             held.clear()
 
@@ -257,37 +309,70 @@ def _linker(percent: int, words: int, by: list[str]):
 
 
 def _meeting(percent: int):
-    """Sorted rows (s, rep, point) to links between those of an ``s`` that may be similar by the bound."""
+    """Sorted rows (g, t1, t2, rep, tile, point) to links between those of a unit that may be similar by the bound."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held, found = None, [], []
+        key, held, found = None, [], set()
 
         def done() -> None:
-            if len(held) == 2:
-                (a, x), (b, y) = held
-                if Tree._may(x, int(x.sum()), y[None], y[None].sum(1), percent)[0]:
-                    found.append((max(a, b), min(a, b)))
-            elif len(held) > 2:
-                nodes = [h[0] for h in held]
-                found.extend(link(None, np.array([h[1] for h in held]), nodes, nodes, None, percent))
+            if len(held) == 2 and held[0][1] < 0:
+                (a, _, x), (b, _, y) = held
+                if len(x) != len(y):
+                    x, y = folded([x, y])
+                if (100 + percent) * int(np.minimum(x, y).sum()) >= percent * int(x.sum() + y.sum()):
+                    found.add((max(a, b), min(a, b)))
+            elif len(held) > 1:
+                nodes, tiles = [h[0] for h in held], [h[1] for h in held] if held[0][1] >= 0 else None
+                found.update(link(None, folded([h[2] for h in held]), nodes, nodes, tiles, percent))
             held.clear()
 
         for pdf in frames:
-            for s, rep, raw in zip(pdf.s.tolist(), pdf.rep.tolist(), pdf.point, strict=True):
-                if s != key:
+            for g, t1, t2, rep, tile, raw in zip(pdf.g.tolist(), pdf.t1.tolist(), pdf.t2.tolist(), pdf.rep.tolist(), pdf.tile.tolist(), pdf.point, strict=True):
+                if (g, t1, t2) != key:
                     done()
-                    key = s
-                held.append((rep, unpacked(raw)))
+                    key = (g, t1, t2)
+                held.append((rep, tile, unpacked(raw)))
             if found:
-                yield pd.DataFrame(list(set(found)), columns=["a", "b"])
+                yield pd.DataFrame(list(found), columns=["a", "b"])
                 found.clear()
         done()
         if found:
-            yield pd.DataFrame(list(set(found)), columns=["a", "b"])
+            yield pd.DataFrame(list(found), columns=["a", "b"])
 
     return run
 
 
+def _tiled(rows: DataFrame, group: str, percent: int, tile: int) -> DataFrame:
+    """The rows (with n, their set's size) and ``own``, the tile of their group that they are in, and ``others``, the tiles that may hold similar sets.
+
+    Tiles are bands of size, in which similar sets are the same or next to each other, cut by hash. A group of at most
+    ``tile`` rows is one tile, 0.
+    """
+    width = np.log(100 / percent) * 1.0001 if percent < 100 else 1.0
+    total = rows.groupBy(group).agg(F.count("*").alias("_total"))
+    rows = rows.join(total, group).withColumn("_band", F.when(F.col("_total") <= tile, F.lit(0)).otherwise(F.floor(F.log("n") / width) + 1).cast("long"))
+    bands = rows.groupBy(group, "_band").agg(F.ceil(F.count("*") / tile).alias("_tiles"))
+    by = Window.partitionBy(group).orderBy("_band")  # a row a band: some dozens a group
+    beside = lambda f, step: F.when(f("_band").over(by) == F.col("_band") + step, f("_tiles").over(by)).otherwise(0)
+    bands = bands.withColumn("_before", beside(F.lag, -1)).withColumn("_after", beside(F.lead, 1))
+    at = lambda band, part: band * PARTS_A_BAND + part
+    tiles = lambda step, n: F.transform(F.sequence(F.lit(1), F.col(n)), lambda k: at(F.col("_band") + step, k - 1))
+    none = F.array().cast("array<bigint>")
+    every = F.concat(*[F.when(F.col(n) > 0, tiles(step, n)).otherwise(none) for step, n in ((-1, "_before"), (0, "_tiles"), (1, "_after"))])
+    rows = rows.join(bands, [group, "_band"]).withColumn("own", at(F.col("_band"), F.pmod(F.xxhash64("node"), F.col("_tiles"))))
+    return rows.withColumn("others", F.array_remove(every, F.col("own"))).drop("_total", "_band", "_tiles", "_before", "_after")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Of tiled rows, each once for each pair of tiles: t1, t2 and tile."""
+    two = rows.withColumn("_other", F.explode("others"))
+    return two.withColumns({"t1": F.least("own", "_other"), "t2": F.greatest("own", "_other"), "tile": F.col("own")}).drop("own", "others", "_other")
+
+
+def _selves(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"t1": F.col("own"), "t2": F.col("own"), "tile": F.lit(-1).cast("long")}).drop("own", "others")
+
+
 def _links(rows: DataFrame, by: list[str], percent: int, words: int) -> DataFrame:
     sorted_ = rows.select(*by, "node", "known", "tile", "text").repartition(*by).sortWithinPartitions(*by, "node")
     return sorted_.mapInPandas(tidily(_linker(percent, words, by)), "a long, b long")
@@ -304,37 +389,29 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     prepare(spark)
     rows = cut(features(docs, id_col=id_col, text_col=text_col, percent=percent, words=words))
     usable = rows.where("doc_id is not null and k1 is not null")
-    sets = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signatures").alias("signatures"), F.first("point").alias("point"))
+    sets = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signatures").alias("signatures"), F.first("point").alias("point"))
     by = "over (partition by s)"
-    met = sets.select("rep", F.explode("signatures").alias("s")).selectExpr("rep", "s", f"min(rep) {by} as hub", f"max(rep) {by} as last", f"count(*) {by} as n")
-    met = cut(met.where("hub != last").select("rep", "s", "hub", "n"))
-    # where few meet, the bound says who may be similar; where very many do, all go to one family
-    few = met.where(F.col("n") <= MOST_MEETING).select("rep", "s").join(sets.select("rep", "point"), "rep")
-    near = few.select("s", "rep", "point").repartition("s").sortWithinPartitions("s", "rep").mapInPandas(tidily(_meeting(percent)), "a long, b long")
-    many = met.where((F.col("n") > MOST_MEETING) & (F.col("hub") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    families = cut(components(near.unionByName(many)).withColumnRenamed("root", "family"))
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    members = families.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    met = sets.select("rep", F.explode("signatures").alias("s")).selectExpr("rep", f"min(rep) {by} as hub", f"max(rep) {by} as last", f"count(*) {by} as n", f"bit_xor(xxhash64(rep)) {by} as x")
+    met = cut(met.where("hub != last").select("rep", F.xxhash64("hub", "last", "n", "x").alias("g")).distinct())  # the same sets meet in many groups: once is enough
+    points = met.join(sets.select("rep", "n"), "rep").withColumn("node", F.col("rep"))
+    points = _tiled(points, "g", percent, tile)
+    points = _selves(points).unionByName(_pairs(points)).select("g", "t1", "t2", "rep", "tile").join(sets.select("rep", "point"), "rep")
+    near = points.select("g", "t1", "t2", "rep", "tile", "point").repartition("g", "t1", "t2").sortWithinPartitions("g", "t1", "t2", "rep").mapInPandas(tidily(_meeting(percent)), "a long, b long")
+    families = components(near).withColumnRenamed("root", "family").join(sets.select(F.col("rep").alias("node"), "n"), "node")
+    members = cut(_tiled(families, "family", percent, tile))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    alone = F.lit(-1).alias("tile")
-    links = cut(_links(members.join(texts, "node").select("family", "part", "node", F.col("node").alias("known"), alone, "text"), ["family", "part"], percent, words))
-    large = cut(members.where("tiles > 1"))
+    units = ["family", "t1", "t2"]
+    links = cut(_links(_selves(members).withColumn("known", F.col("node")).join(texts, "node"), units, percent, words))
+    large = members.where("size(others) > 0")
     if not large.isEmpty():
         # the smallest members of the tiles' components
-        now = components(links)
-        state = large.join(now, "node", "left").withColumn("known", F.coalesce("root", "node")).drop("root")
-        hubs = state.where("known = node")
-        counts = hubs.groupBy("family").agg(F.ceil(F.count("*") / tile).cast("int").alias("n"))
-        hubs = hubs.join(counts, "family").withColumn("hub_part", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("n")).cast("int"))
-        more = _links(hubs.join(texts, "node").select("family", "hub_part", "node", "known", alone, "text"), ["family", "hub_part"], percent, words)
-        links = cut(links.unionByName(more))
+        state = large.join(components(links), "node", "left").withColumn("known", F.coalesce("root", "node")).drop("root")
+        hubs = _selves(_tiled(state.where("known = node").select("family", "node", "n", "known"), "family", percent, tile))
+        links = cut(links.unionByName(_links(hubs.join(texts, "node"), units, percent, words)))
         # what is still apart in a family: its tiles, two by two
-        now = components(links)
-        state = cut(large.join(now, "node", "left").withColumn("known", F.coalesce("root", "node")).drop("root"))
+        state = cut(large.join(components(links), "node", "left").withColumn("known", F.coalesce("root", "node")).drop("root"))
         apart = state.groupBy("family").agg(F.min("known").alias("x"), F.max("known").alias("y")).where("x != y").select("family")
-        pairs = state.join(apart, "family").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("other != part")
-        pairs = pairs.select("family", F.least("part", "other").alias("t1"), F.greatest("part", "other").alias("t2"), "node", "known", F.col("part").alias("tile"))
-        links = cut(links.unionByName(_links(pairs.join(texts, "node"), ["family", "t1", "t2"], percent, words)))
+        links = cut(links.unionByName(_links(_pairs(state.join(apart, "family")).join(texts, "node"), units, percent, words)))
     # rows that share an id but not a text connect their classes
     shared = usable.groupBy("doc_id").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x != y")
     same_id = usable.join(shared, "doc_id", "left_semi").join(sets.select("k1", "k2", "rep"), ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
