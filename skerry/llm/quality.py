@@ -4,6 +4,14 @@ Spark counts the character n-grams of each language's clean texts; from them a m
 kept in sorted arrays of packed n-gram hashes. Each language has a lower and an upper perplexity bound, and texts
 outside them are rejected: below are repetitive ones, above are those unlike their language. Junk isn't counted, so
 that it is unlike its language too; how tight the bounds are is fitted to labelled texts.
+
+Every value of the language column, null included, has a model and bounds of its own; a language without a clean text has
+none, and nothing of it is rejected by perplexity. The models grow with the corpus. Where their n-grams are few enough
+(``most_grams``) they are sent to the workers as arrays; beyond that they stay tables, and the distinct n-grams of the texts
+are joined with them. Both give the same perplexities.
+
+Null, empty and blank texts have no words and fail the base rules. Each row is judged by its own text and language, so
+repeated rows and ties are judged alike. Long texts are read whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,47 +21,42 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fold, fresh, prepare, table, tidily, tidy
+from .common import absent, cut, fold, fresh, prepare, table, tidily, tidy
 
-#: Symbols are six bits, so that an n-gram of four has one of 2 ** 24 hashes, and a model has a bounded size.
-ORDER, BITS = 4, 6
+#: Symbols are twelve bits, an n-gram of five a hash of sixty.
+ORDER, BITS = 5, 12
 SIZE = 1 << BITS
-MOST_LANGUAGES = 64
-REST = MOST_LANGUAGES - 1
+#: Code points below are symbols of their own (Latin to Bengali); what lies beyond shares the rest by hash.
+PLAIN = 0x0A00
 
-# The signs that get a symbol of their own, after space (0), the letters (1 to 26) and digits (27).
-SIGNS = ".,;:!?'\"-()"
+# Noise, and the six ASCII spaces.
 NOISE = "#*$%&|<>"
 SPACES = "\t\n\x0b\x0c\r "
 
 
 def _symbols() -> np.ndarray:
-    """Symbol of each code point of the first plane; others share the last 23 by remainder."""
-    at = (41 + np.arange(1 << 16) % 23).astype(np.uint8)
-    at[:128] = 40
+    """Symbol of each code point of the first plane; a space is 0."""
+    at = np.arange(1 << 16, dtype=np.int64)
+    at[PLAIN:] = PLAIN + (at[PLAIN:] * 0x9E3779B1 >> 15) % (SIZE - PLAIN)
     at[[ord(c) for c in SPACES]] = 0
-    at[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    at[ord("0") : ord("9") + 1] = 27
-    for k, c in enumerate(SIGNS):
-        at[ord(c)] = 28 + k
-    at[[ord(c) for c in NOISE]] = 39
-    return at
+    at[0] = 1
+    return at.astype(np.uint16)
 
 
 SYMBOL = _symbols()
 
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of lower-cased texts, white space collapsed, three spaces before each; places of what counts; how many count of each text.
+    """Symbols of lower-cased texts, white space collapsed, spaces before each; places of what counts; how many count of each text.
 
     A text counts with the space that ends it.
     """
     texts = [t.lower() + "\n" for t in texts]
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-    got = SYMBOL[np.where(codes < 1 << 16, codes, codes % 23 * 23 + (1 << 14))]
+    got = SYMBOL[np.where(codes < 1 << 16, codes, (codes >> np.uint32(1)) % (1 << 15) + (1 << 15))]
     ends = np.cumsum([len(t) for t in texts])
     first = np.zeros(len(got), bool)
     first[np.concatenate([[0], ends[:-1]])] = True
@@ -62,7 +65,7 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], ends])]
     n = np.diff(before)
     at = np.arange(before[-1]) + (ORDER - 1) * (np.repeat(np.arange(len(texts)), n) + 1)
-    padded = np.zeros(before[-1] + (ORDER - 1) * len(texts), np.int32)
+    padded = np.zeros(before[-1] + (ORDER - 1) * len(texts), np.int64)
     padded[at] = got[keep]
     return padded, at, n
 
@@ -107,8 +110,8 @@ class NgramModel:
             weight = np.bincount(at, weights=d[kind], minlength=len(ck)) / np.maximum(total, 1)
             low = lower_p[np.searchsorted(lower_keys, k & ((1 << BITS * max(order - 1, 1)) - 1))]
             p = (c - d[kind]) / total[at] + weight[at] * low
-            grams.append((k, np.log2(p)))
-            contexts.append((ck, np.log2(np.maximum(weight, 1e-12))))
+            grams.append((k, np.log2(p).astype(np.float32)))
+            contexts.append((ck, np.log2(np.maximum(weight, 1e-12)).astype(np.float32)))
             lower_keys, lower_p = k, p
         return cls(grams[::-1], contexts[::-1])
 
@@ -144,56 +147,119 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.clip(d, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.9])
 
 
-def _slot(languages: list[str], lang_col: str):
-    """A language's model: its place in the list, or the one that all others and nulls share."""
-    known = [x for pair in ((F.lit(x), F.lit(i)) for i, x in enumerate(languages)) for x in pair]
-    return F.coalesce(F.try_element_at(F.create_map(*known), F.col(lang_col)), F.lit(REST)) if known else F.lit(REST)
+#: Of all languages, how many n-grams may be sent to each worker (12 bytes each, as many again for their contexts at most).
+MOST_GRAMS = 4_000_000
+
+
+def _key(lang: Column) -> Column:
+    """A language as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), lang.cast("string")), F.lit(""))
 
 
 @dataclass
 class LanguageModels:
-    languages: list[str]
-    models: dict[int, NgramModel]
+    """The counts (lang, gram, n) of all languages, and their models where they are small enough to be sent."""
+
+    counts: DataFrame
+    models: dict[str, NgramModel] | None
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> LanguageModels:
-    """Count every clean text of the corpus (see ``clean``) and make a model of each language.
+def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", most_grams: int = MOST_GRAMS) -> LanguageModels:
+    """Count every clean text of the corpus (see ``clean``), each language apart.
 
-    A language without a clean text is counted from all its texts.
-    The 63 languages with most rows have models of their own; all others and rows without one share the last.
-    What is collected are counts of the distinct n-grams, at most 2 ** 24 a language.
+    Tasks count first, so what is shuffled are a task's distinct n-grams. Counts are collected only after their number
+    has been checked.
     """
     prepare(docs.sparkSession)
-    top = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(REST).collect()
-    languages = sorted(r.lang for r in top)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
         for pdf in frames:
-            pdf["clean"] = [clean(t) for t in pdf.text]
-            for key, texts in pdf.groupby(["slot", "clean"]).text:
-                part, size = [], 0
+            pdf = pdf[[clean(t) for t in pdf.text]]
+            for key, texts in pdf.groupby("lang").text:
+                part, chars = [], 0
                 own = held.setdefault(key, [])
                 for k, t in enumerate(texts):
                     part.append(t)
-                    size += len(t)
-                    if size > 2_000_000 or k == len(texts) - 1:
+                    chars += len(t)
+                    if chars > 1_000_000 or k == len(texts) - 1:
                         padded, at, _ = symbols(part)
                         own.append(_sum_by(ngrams(padded, at)))
-                        part, size = [], 0
+                        part, chars = [], 0
                 if len(own) > 16:
                     held[key] = [_sum_by(*map(np.concatenate, zip(*own, strict=True)))]
-        for (slot, is_clean), own in held.items():
-            keys, n = _sum_by(*map(np.concatenate, zip(*own, strict=True)))
-            yield pd.DataFrame({"slot": slot, "clean": is_clean, "gram": keys, "n": n})
-
-    rows = docs.select(_slot(languages, lang_col).alias("slot"), F.col(text_col).alias("text")).where("text is not null")
-    counted = rows.mapInPandas(tidily(run), "slot int, clean boolean, gram int, n long").groupBy("slot", "clean", "gram").agg(F.sum("n").alias("n")).toPandas()
-    counted = counted[counted.clean == counted.groupby("slot").clean.transform("max")]
-    models = LanguageModels(languages, {int(s): NgramModel.of(g.gram.to_numpy(), g.n.to_numpy()) for s, g in counted.groupby("slot")})
-    del counted
+            size = sum(len(k) for own in held.values() for k, _ in own)
+            if size > 4_000_000:  # as much as a task may hold
+                yield from done(held)
+        yield from done(held)
+
+    def done(held: dict) -> Iterator[pd.DataFrame]:
+        for key, own in held.items():
+            grams, n = _sum_by(*map(np.concatenate, zip(*own, strict=True)))
+            for at in range(0, len(grams), 100_000):
+                yield pd.DataFrame({"lang": key, "gram": grams[at : at + 100_000], "n": n[at : at + 100_000]})
+        held.clear()
+
+    rows = docs.select(_key(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text")).where("text is not null")
+    counts = cut(rows.mapInPandas(tidily(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    if counts.count() > most_grams:
+        return LanguageModels(counts, None)
+    got = counts.sort("lang").toPandas()  # at most most_grams rows
+    models = {str(key): NgramModel.of(g.gram.to_numpy(), g.n.to_numpy()) for key, g in got.groupby("lang")}
+    del got
     tidy()
-    return models
+    return LanguageModels(counts, models)
+
+
+def _probabilities(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Per order from the highest: (lang, gram, log2) and (lang, context, log2), the arrays of ``NgramModel`` as tables."""
+    levels = [counts.select("lang", "gram", "n")]
+    for order in range(ORDER - 1, 0, -1):
+        levels.append(levels[-1].groupBy("lang", F.col("gram").bitwiseAND((1 << BITS * order) - 1).alias("gram")).agg(F.count("*").alias("n")))
+    found, lower = [], None
+    for order, level in zip(range(1, ORDER + 1), reversed(levels), strict=True):
+        of = level.groupBy("lang").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
+        n1, n2, n3, n4 = (F.col(f"n{k}") for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        off = lambda k, a, b: F.when(a > 0, k - (k + 1) * y * b / F.nullif(a, F.lit(0.0))).otherwise(0.5 * k)
+        known = (n1 > 0) & (n2 > 0)
+        kept = lambda x, other, most: F.least(F.greatest(F.when(known, x).otherwise(F.lit(other)), F.lit(0.05)), F.lit(most))
+        of = of.select("lang", kept(off(1, n1, n2), 0.5, 0.95).alias("d1"), kept(off(2, n2, n3), 0.75, 1.9).alias("d2"), kept(off(3, n3, n4), 0.9, 2.9).alias("d3"))  # a row a language
+        d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        level = level.join(of, "lang").select("lang", "gram", "n", d.alias("d"), F.shiftright("gram", BITS).alias("context"))
+        contexts = level.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("off")).select("lang", "context", "total", (F.col("off") / F.col("total")).alias("weight"))
+        level = level.join(contexts, ["lang", "context"])
+        if lower is None:
+            level = level.withColumn("low", F.lit(1 / SIZE))
+        else:
+            level = level.withColumn("suffix", F.col("gram").bitwiseAND((1 << BITS * (order - 1)) - 1)).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("low")), ["lang", "suffix"])
+        lower = cut(level.select("lang", "gram", ((F.col("n") - F.col("d")) / F.col("total") + F.col("weight") * F.col("low")).alias("p")))
+        found.append((lower.select("lang", "gram", F.log2("p").alias("log2")), contexts.select("lang", "context", F.log2(F.greatest("weight", F.lit(1e-12))).alias("log2"))))
+    return found[::-1]
+
+
+def _bits_by_join(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """row and bits of frames with row, lang (a key) and text: distinct n-grams are looked up in the tables, then summed by row."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for row, lang, text in zip(pdf["row"], pdf.lang, pdf.text, strict=True):
+                padded, at, _ = symbols([text])
+                grams, n = _sum_by(ngrams(padded, at))
+                yield pd.DataFrame({"row": row, "lang": lang, "gram": grams, "n": n})
+
+    grams = rows.where("text is not null").mapInPandas(tidily(run), "row long, lang string, gram long, n long")
+    known = counts.select("lang").distinct()
+    value = grams.select("lang", "gram").distinct().join(known, "lang", "left_semi").select("lang", "gram", F.lit(0.0).alias("log2"), F.lit(False).alias("done"))
+    for order, (p, w) in zip(range(ORDER, 0, -1), _probabilities(counts), strict=True):
+        own = F.col("gram").bitwiseAND((1 << BITS * order) - 1)
+        value = value.withColumn("own", own).withColumn("context", F.shiftright("own", BITS))
+        value = value.join(p.select("lang", F.col("gram").alias("own"), F.col("log2").alias("p")), ["lang", "own"], "left").join(w.select("lang", "context", F.col("log2").alias("w")), ["lang", "context"], "left")
+        more = F.when(F.col("done"), 0.0).otherwise(F.coalesce("p", "w", F.lit(0.0)))
+        value = cut(value.select("lang", "gram", (F.col("log2") + more).alias("log2"), (F.col("done") | F.col("p").isNotNull()).alias("done")))
+    value = value.select("lang", "gram", F.when(F.col("done"), F.col("log2")).otherwise(F.col("log2") - BITS).alias("log2"))
+    return grams.join(value, ["lang", "gram"]).groupBy("row").agg((-F.sum(F.col("n") * F.col("log2")) / F.sum("n")).alias("bits"))
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -230,26 +296,30 @@ def clean(text: str) -> bool:
     return 100 * noise <= chars and 100 * repeats <= 50 * n
 
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, slot int, bits double"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, bits double"
 
 
 def measure(docs: DataFrame, models: LanguageModels, *, text_col: str = "text", lang_col: str = "lang", as_col: str = "measures") -> DataFrame:
-    """The frame with one more column, a struct of the counts and of ``bits``, log2 of the perplexity (0 for no text)."""
+    """The frame with one more column, a struct of the counts and of ``bits``, log2 of the perplexity (0 for no text or no model).
+
+    A column of that name that is there already raises.
+    """
+    absent(docs, as_col)
     spark = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(models)
+    shared = spark.sparkContext.broadcast(models.models or {})  # checked by fit: at most most_grams n-grams
 
-    def measures(texts: pd.Series, slots: pd.Series) -> pd.DataFrame:
-        texts = [t or "" for t in texts]
+    def measures(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
+        texts, keys = [t or "" for t in texts], keys.to_numpy(object)
         out = pd.DataFrame([base(t) for t in texts], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"])
         bits = np.zeros(len(texts))
-        for slot in np.unique(slots):
-            model = shared.value.models.get(int(slot))
-            own = np.flatnonzero(slots == slot)
+        for key in set(keys):
+            model = shared.value.get(key)
+            own = np.flatnonzero(keys == key)
             start = 0
             while start < len(own) and model:
                 end, size = start, 0
-                while end < len(own) and (end == start or size < 1_000_000):
+                while end < len(own) and (end == start or size < 500_000):
                     size += len(texts[own[end]])
                     end += 1
                 padded, at, n = symbols([texts[i] for i in own[start:end]])
@@ -257,77 +327,83 @@ def measure(docs: DataFrame, models: LanguageModels, *, text_col: str = "text",
                 sums = np.diff(np.concatenate([[0.0], np.cumsum(logs)])[np.concatenate([[0], np.cumsum(n)])])
                 bits[own[start:end]] = -sums / np.maximum(n, 1)
                 start = end
-        out["slot"], out["bits"] = slots.to_numpy(), bits
+        out["bits"] = bits
         return out
 
     @F.pandas_udf(MEASURES)
     def run(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         yield from tidily(lambda rows: (measures(*x) for x in rows))(frames)
 
-    return docs.withColumn(as_col, run(F.col(text_col), _slot(models.languages, lang_col)))
+    key = _key(F.col(lang_col))
+    if models.models is not None:
+        return docs.withColumn(as_col, run(F.col(text_col), key))
+    row, bits = fresh(docs, "row"), fresh(docs, "bits")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(as_col, run(F.col(text_col), key)))
+    found = _bits_by_join(rows.select(F.col(row).alias("row"), key.alias("lang"), F.col(text_col).alias("text")), models.counts).select(F.col("row").alias(row), F.col("bits").alias(bits))
+    return rows.join(found, row, "left").withColumn(as_col, F.col(as_col).withField("bits", F.coalesce(bits, F.lit(0.0)))).select(*docs.columns, as_col)
+
+
+#: Labelled rows that the bounds aren't fitted to: ids with ``crc32 mod 4 == 2``.
+HELD_OUT = (4, 2)
 
 
-def fit_bands(measures: DataFrame, labels: DataFrame | None = None, *, below: float = 5.0, above: float = 5.0, least: float = 0.02) -> dict[int, tuple[float, float]]:
-    """Each language's bounds of ``bits``: its median and so many deviations, a deviation being a quartile distance over that of a normal law (``least`` at the least).
+def fit_bands(measures: DataFrame, labels: DataFrame | None = None, *, below: float = 5.0, above: float = 5.0, least: float = 0.02) -> DataFrame:
+    """lang, low, high: each language's bounds of ``bits``, its median and so many deviations, a deviation being a quartile distance over that of a normal law (``least`` at the least).
 
-    Of a frame with columns slot, bits and base_failed; all rows that pass the base rules count. With ``labels`` (and
+    Of a frame with columns lang (a key), bits and base_failed; all rows that pass the base rules count. With ``labels`` (and
     doc_id) a side's deviations are fewer where that tells a language's poor texts from its good ones; see ``tighten``.
     """
-    got = measures.where(~F.col("base_failed")).groupBy("slot").agg(F.percentile_approx("bits", [0.25, 0.5, 0.75], 10_000).alias("q")).collect()  # a row a language
-    laws = {r.slot: (r.q[1], max(least, (r.q[1] - r.q[0]) / 0.6745), max(least, (r.q[2] - r.q[1]) / 0.6745)) for r in got}
-    fitted = tighten(measures, labels, laws, below, above) if labels is not None and laws else {}
-    return {s: (mid - fitted.get((s, True), below) * low, mid + fitted.get((s, False), above) * high) for s, (mid, low, high) in laws.items()}
+    good = measures.where(~F.col("base_failed") & (F.col("bits") > 0))
+    q = good.groupBy("lang").agg(F.percentile_approx("bits", [0.25, 0.5, 0.75], 10_000).alias("q"))
+    side = lambda a, b: F.greatest(F.lit(least), (F.col("q")[a] - F.col("q")[b]) / 0.6745)
+    laws = cut(q.select("lang", F.col("q")[1].alias("mid"), side(1, 0).alias("under"), side(2, 1).alias("over")))  # a row a language
+    if labels is None:
+        return laws.select("lang", (F.col("mid") - below * F.col("under")).alias("low"), (F.col("mid") + above * F.col("over")).alias("high"))
+    fitted = tighten(good, labels, laws, below, above)
+    return laws.join(fitted, "lang", "left").select("lang", (F.col("mid") - F.coalesce("below", F.lit(below)) * F.col("under")).alias("low"), (F.col("mid") + F.coalesce("above", F.lit(above)) * F.col("over")).alias("high"))
 
 
-#: Labelled rows that the bounds aren't fitted to: ids with ``crc32 mod 4 == 2``.
-HELD_OUT = (4, 2)
-
-
-def tighten(measures: DataFrame, labels: DataFrame, laws: dict[int, tuple[float, float, float]], below: float, above: float, *, price: float = 5.0) -> dict[tuple[int, bool], float]:
-    """Deviations by language and side (True: below the median).
+def tighten(measures: DataFrame, labels: DataFrame, laws: DataFrame, below: float, above: float, *, price: float = 5.0) -> DataFrame:
+    """lang, below, above: the deviations on both sides of the median.
 
     Of the steps from 2.5 to the given ones that with the largest share of poor texts outside, less ``price`` times the share
     of good ones outside; ties go to the widest. A language without both labels in the rows for fitting isn't in the result.
     """
     some = labels.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1])).select(F.col("doc_id").alias("labelled"), "quality").distinct()
-    law = F.create_map(*[x for s, values in laws.items() for x in (F.lit(s), F.array(*map(F.lit, values)))])
-    rows = measures.where(~F.col("base_failed")).join(some, F.col("doc_id") == F.col("labelled")).select("slot", "quality", "bits", F.try_element_at(law, F.col("slot")).alias("law"))
-    off = F.col("bits") - F.col("law")[0]
-    rows = rows.select("slot", "quality", (off < 0).alias("low"), F.when(off < 0, -off / F.col("law")[1]).otherwise(off / F.col("law")[2]).alias("z"))
-    steps = {low: sorted({min(k, most) for k in (2.5, 3.0, 3.5, 4.0, most)}) for low, most in ((True, below), (False, above))}
-    every = sorted({*steps[True], *steps[False]})
-    got = rows.groupBy("slot", "quality", "low").agg(F.count("*").alias("n"), F.array(*[F.sum((F.col("z") > k).cast("long")) for k in every]).alias("out")).collect()  # four rows a language
-    n: dict[tuple[int, int], int] = {}
-    for r in got:
-        n[r.slot, r.quality] = n.get((r.slot, r.quality), 0) + r.n
-    out = {(r.slot, r.low, r.quality): dict(zip(every, r.out, strict=True)) for r in got}
-    fitted = {}
-    for slot in {s for s, _ in n if (s, 0) in n and (s, 1) in n}:
-        for low in (True, False):
-            share = lambda quality, k: out.get((slot, low, quality), {}).get(k, 0) / n[slot, quality]  # noqa: B023, E731
-            fitted[slot, low] = max(steps[low], key=lambda k: (share(0, k) - price * share(1, k), k))  # noqa: B023
-    return fitted
-
-
-def in_band(bands: dict[int, tuple[float, float]], slot, bits):
-    """The method's verdict as a column; a language without bounds rejects nothing."""
-    known = F.lit(True)
-    for s, (low, high) in bands.items():
-        known = F.when(slot == s, bits.between(low, high)).otherwise(known)
-    return known
+    rows = measures.join(some, F.col("doc_id") == F.col("labelled")).join(laws, "lang")
+    off = F.col("bits") - F.col("mid")
+    z = F.when(off < 0, off / F.col("under")).otherwise(off / F.col("over"))
+    steps = lambda most: sorted({min(k, most) for k in (2.5, 3.0, 3.5, 4.0, most)})
+    outside = lambda far, quality: F.avg(F.when(F.col("quality") == quality, far.cast("double")))
+    gain = lambda far: outside(far, 0) - price * outside(far, 1)
+    best = lambda sign, most: F.array_max(F.array(*[F.struct(gain(sign * z > k).alias("gain"), F.lit(k).alias("k")) for k in steps(most)]))["k"]
+    both = (F.count_if(F.col("quality") == 0) > 0) & (F.count_if(F.col("quality") == 1) > 0)
+    return rows.groupBy("lang").agg(both.alias("both"), best(-1, below).alias("below"), best(1, above).alias("above")).where("both").drop("both")
+
+
+def judged(rows: DataFrame, bands: DataFrame, *, lang: Column, bits: Column, failed: Column, as_col: str) -> DataFrame:
+    """The rows with the verdict: not failed, and within the bounds of their language, if it has any."""
+    key, low, high = (fresh(rows, n) for n in ("band_lang", "band_low", "band_high"))
+    own = bands.select(F.col("lang").alias(key), F.col("low").alias(low), F.col("high").alias(high))
+    joined = rows.join(own, _key(lang) == F.col(key), "left")
+    return joined.withColumn(as_col, ~failed & F.coalesce(bits.between(F.col(low), F.col(high)), F.lit(True))).drop(key, low, high)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    rows = cut(measure(docs, fit(docs)).select("doc_id", "measures.*"))
-    kept = ~F.col("base_failed") & in_band(fit_bands(rows, table(spark, sf_dir, "labels")), F.col("slot"), F.col("bits"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.pow(F.lit(2.0), F.col("bits")).alias("perplexity"))
+    rows = cut(measure(docs, fit(docs)).select("doc_id", "lang", "measures.*"))
+    bands = fit_bands(rows.withColumn("lang", _key(F.col("lang"))), table(spark, sf_dir, "labels"))
+    rows = judged(rows, bands, lang=F.col("lang"), bits=F.col("bits"), failed=F.col("base_failed"), as_col="kept")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.pow(F.lit(2.0), F.col("bits")).alias("perplexity"))
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that pass the base rules and lie within their language's bounds, with their columns as they were."""
-    name = fresh(docs, "measures")
-    measured = measure(docs, fit(docs), as_col=name)
-    bands = fit_bands(cut(measured.select("doc_id", f"{name}.slot", f"{name}.bits", f"{name}.base_failed")), table(spark, sf_dir, "labels"))
+    """The rows that pass the base rules and lie within their language's bounds, with their columns as they were.
+
+    Texts are scored once: the scored rows are a checkpoint. Null, empty and blank texts go; repeated rows stay or go together.
+    """
+    name, kept = fresh(docs, "measures"), fresh(docs, "kept")
+    measured = cut(measure(docs, fit(docs), as_col=name))
     m = F.col(name)
-    return measured.where(~m["base_failed"] & in_band(bands, m["slot"], m["bits"])).drop(name)
+    bands = fit_bands(measured.select("doc_id", _key(F.col("lang")).alias("lang"), m["bits"].alias("bits"), m["base_failed"].alias("base_failed")), table(spark, sf_dir, "labels"))
+    return judged(measured, F.broadcast(bands) if bands.count() <= 10_000 else bands, lang=F.col("lang"), bits=m["bits"], failed=m["base_failed"], as_col=kept).where(F.col(kept)).select(*docs.columns)

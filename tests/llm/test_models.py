@@ -45,8 +45,10 @@ def test_toxicity_edges(spark, odd, empty, labels):
     assert none.score("any") < 1e-6 and none.score(None) < 1e-6
     assert 0.5 < toxicity.fit_words([{"a"}, {"b"}], np.ones(2)).score("") < 1
     model = toxicity.fit(odd, spark.createDataFrame([(4, 1), (7, 0), (6, None), (None, 1), (5, 7)], "doc_id long, toxic int"), held_out=None)
-    got = toxicity.score(odd.drop("score"), model).collect()
-    assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
+    got = toxicity.score(odd, model, as_col="toxic_score").collect()
+    assert len(got) == odd.count() and all(0 <= r.toxic_score <= 1 for r in got)
+    with pytest.raises(ValueError):
+        toxicity.score(odd, model)
     assert toxicity.reject_toxic(spark, empty, SF).collect() == []
     kept = toxicity.reject_toxic(spark, odd, SF)
     assert kept.columns == odd.columns and kept.count() == odd.count()
@@ -155,19 +157,53 @@ def test_quality_query(spark, docs):
 
 def test_quality_edges(spark, odd, empty):
     models = quality.fit(odd)
-    rows = quality.measure(odd.drop("measures"), models).collect()
+    rows = quality.measure(odd, models, as_col="m").collect()
     assert len(rows) == odd.count()
-    assert all(np.isfinite(r.measures.bits) and r.measures.bits >= 0 for r in rows)
+    assert all(np.isfinite(r.m.bits) and r.m.bits >= 0 for r in rows)
     assert quality.reject_poor(spark, empty, SF).collect() == []
     kept = quality.reject_poor(spark, odd, SF)
     assert kept.columns == odd.columns
 
 
-def test_many_languages_share_the_last_model(spark):
-    df = spark.createDataFrame([(i, f"some text of number {i}", f"l{i:03}") for i in range(80)], "doc_id long, text string, lang string")
+def test_every_language_has_a_model_of_its_own(spark):
+    df = spark.createDataFrame([(i, f"some text of number {i}", f"l{i:03}" if i else None) for i in range(80)], "doc_id long, text string, lang string")
     models = quality.fit(df)
-    assert len(models.languages) == quality.REST and quality.REST in models.models
-    assert {r.m.slot for r in quality.measure(df, models, as_col="m").collect()} == set(range(quality.MOST_LANGUAGES))
+    assert len(models.models) == 80 and "" in models.models and "=l079" in models.models
+    assert all(r.m.bits > 0 for r in quality.measure(df, models, as_col="m").collect())
+
+
+def test_models_too_large_to_send_give_the_same(spark, docs, odd):
+    some = docs.select("doc_id", "text", "lang").limit(40).unionByName(odd.select("doc_id", "text", "lang")).withColumn("row", quality.F.lit(7))
+    sent, joined = quality.fit(some), quality.fit(some, most_grams=0)
+    assert sent.models and joined.models is None
+    got = [sorted(((r.doc_id or 0, r.text or "", r.lang or "", r["row"], *r.measures[:6], round(r.measures.bits, 4)) for r in quality.measure(some, m).collect())) for m in (sent, joined)]
+    assert got[0] == got[1]
+
+
+def test_verdict_by_brute_force(spark):
+    """Texts of three scripts; of each, junk in another order of letters is outside the bounds and the rest within."""
+    rng = np.random.default_rng(3)
+    alphabets = {"ru": "абвгдеёжзийклмнопрст", "zh": "的一是不了在人有我他这中大来上国个到说们", "en": "abcdefghijklmnopqrst"}
+    rows = []
+    for lang, letters in alphabets.items():
+        words = ["".join(rng.choice(list(letters), 5)) for _ in range(40)]
+        for k in range(60):
+            text = " ".join(rng.choice(words, 80)) if k else " ".join("".join(rng.choice(list(letters), 5)) + "&" for _ in range(80))
+            rows.append((len(rows), text, lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    measured = quality.measure(df, quality.fit(df)).select("doc_id", "lang", "measures.*").collect()
+    kept = {}
+    for lang in alphabets:
+        bits = np.array([r.bits for r in measured if r.lang == lang and not r.base_failed])
+        low, mid, high = np.percentile(bits, [25, 50, 75], method="inverted_cdf")
+        for r in measured:
+            if r.lang == lang:
+                kept[r.doc_id] = not r.base_failed and mid - 5 * max(0.02, (mid - low) / 0.6745) <= r.bits <= mid + 5 * max(0.02, (high - mid) / 0.6745)
+    frame = quality.measure(df, quality.fit(df)).select("doc_id", "lang", "measures.*")
+    bands = quality.fit_bands(frame.withColumn("lang", quality._key(quality.F.col("lang"))))
+    col = quality.F.col
+    got = {r.doc_id: r.kept for r in quality.judged(frame, bands, lang=col("lang"), bits=col("bits"), failed=col("base_failed"), as_col="kept").collect()}
+    assert got == kept and [k for k, v in got.items() if not v] == [0, 60, 120]
 
 
 @pytest.mark.parametrize("text", ["a b c d", "a b c a b c", "x x x x x", "a b c d a b c", ""])
