@@ -115,6 +115,17 @@ class NgramModel:
             lower_keys, lower_p = k, p
         return cls(grams[::-1], contexts[::-1])
 
+    def rows(self) -> Iterator[tuple[int, bytes, bytes]]:
+        """The arrays as (level, keys, logs): n-grams at even levels, contexts at odd ones."""
+        for k, pair in enumerate(zip(self.grams, self.contexts, strict=True)):
+            for j, (keys, logs) in enumerate(pair):
+                yield 2 * k + j, keys.astype("<i8").tobytes(), logs.astype("<f4").tobytes()
+
+    @classmethod
+    def of_rows(cls, held: dict[int, tuple[bytes, bytes]]) -> NgramModel:
+        pair = lambda x: (np.frombuffer(x[0], "<i8"), np.frombuffer(x[1], "<f4"))
+        return cls(*([pair(held[k]) for k in range(j, 2 * ORDER, 2)] for j in (0, 1)))
+
     def log2(self, keys: np.ndarray) -> np.ndarray:
         """log2 of each n-gram's probability given its context."""
         out = np.zeros(len(keys))
@@ -161,7 +172,7 @@ class LanguageModels:
     """The counts (lang, gram, n) of all languages, and their models where they are small enough to be sent."""
 
     counts: DataFrame
-    models: dict[str, NgramModel] | None
+    models: dict[str, dict[int, tuple[bytes, bytes]]] | None
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", most_grams: int = MOST_GRAMS) -> LanguageModels:
@@ -205,11 +216,15 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", most
     counts = cut(rows.mapInPandas(tidily(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     if counts.count() > most_grams:
         return LanguageModels(counts, None)
-    got = counts.sort("lang").toPandas()  # at most most_grams rows
-    models = {str(key): NgramModel.of(g.gram.to_numpy(), g.n.to_numpy()) for key, g in got.groupby("lang")}
-    del got
+
+    def build(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *x) for x in NgramModel.of(own.gram.to_numpy(), own.n.to_numpy()).rows()], columns=["lang", "level", "keys", "logs"])
+
+    held: dict[str, dict[int, tuple[bytes, bytes]]] = {}
+    for r in counts.groupBy("lang").applyInPandas(build, "lang string, level int, keys binary, logs binary").toLocalIterator():  # arrays of at most most_grams n-grams
+        held.setdefault(r.lang, {})[r.level] = (bytes(r["keys"]), bytes(r.logs))
     tidy()
-    return LanguageModels(counts, models)
+    return LanguageModels(counts, held)
 
 
 def _probabilities(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
@@ -314,7 +329,7 @@ def measure(docs: DataFrame, models: LanguageModels, *, text_col: str = "text",
         out = pd.DataFrame([base(t) for t in texts], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"])
         bits = np.zeros(len(texts))
         for key in set(keys):
-            model = shared.value.get(key)
+            model = NgramModel.of_rows(shared.value[key]) if key in shared.value else None
             own = np.flatnonzero(keys == key)
             start = 0
             while start < len(own) and model:
