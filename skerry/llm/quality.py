@@ -375,7 +375,7 @@ def fit_bands(measures: DataFrame, labels: DataFrame | None = None, *, below: fl
     if labels is None:
         return laws.select("lang", (F.col("mid") - below * F.col("under")).alias("low"), (F.col("mid") + above * F.col("over")).alias("high"))
     fitted = tighten(good, labels, laws, below, above)
-    return laws.join(fitted, "lang", "left").select("lang", (F.col("mid") - F.coalesce("below", F.lit(below)) * F.col("under")).alias("low"), (F.col("mid") + F.coalesce("above", F.lit(above)) * F.col("over")).alias("high"))
+    return cut(laws.join(fitted, "lang", "left").select("lang", (F.col("mid") - F.coalesce("below", F.lit(below)) * F.col("under")).alias("low"), (F.col("mid") + F.coalesce("above", F.lit(above)) * F.col("over")).alias("high")))
 
 
 def tighten(measures: DataFrame, labels: DataFrame, laws: DataFrame, below: float, above: float, *, price: float = 5.0) -> DataFrame:
@@ -385,7 +385,7 @@ def tighten(measures: DataFrame, labels: DataFrame, laws: DataFrame, below: floa
     of good ones outside; ties go to the widest. A language without both labels in the rows for fitting isn't in the result.
     """
     some = labels.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1])).select(F.col("doc_id").alias("labelled"), "quality").distinct()
-    rows = measures.join(some, F.col("doc_id") == F.col("labelled")).join(laws, "lang")
+    rows = measures.join(some, F.col("doc_id") == F.col("labelled")).join(_beside(laws), "lang")
     off = F.col("bits") - F.col("mid")
     z = F.when(off < 0, off / F.col("under")).otherwise(off / F.col("over"))
     steps = lambda most: sorted({min(k, most) for k in (2.5, 3.0, 3.5, 4.0, most)})
@@ -396,10 +396,15 @@ def tighten(measures: DataFrame, labels: DataFrame, laws: DataFrame, below: floa
     return rows.groupBy("lang").agg(both.alias("both"), best(-1, below).alias("below"), best(1, above).alias("above")).where("both").drop("both")
 
 
+def _beside(languages: DataFrame, most: int = 10_000) -> DataFrame:
+    """A frame of a row a language as a join side: sent to all tasks if it is as small as it should be, else left to a shuffled join."""
+    return F.broadcast(languages) if languages.limit(most + 1).count() <= most else languages
+
+
 def judged(rows: DataFrame, bands: DataFrame, *, lang: Column, bits: Column, failed: Column, as_col: str) -> DataFrame:
     """The rows with the verdict: not failed, and within the bounds of their language, if it has any."""
     key, low, high = (fresh(rows, n) for n in ("band_lang", "band_low", "band_high"))
-    own = bands.select(F.col("lang").alias(key), F.col("low").alias(low), F.col("high").alias(high))
+    own = _beside(bands.select(F.col("lang").alias(key), F.col("low").alias(low), F.col("high").alias(high)))
     joined = rows.join(own, _key(lang) == F.col(key), "left")
     return joined.withColumn(as_col, ~failed & F.coalesce(bits.between(F.col(low), F.col(high)), F.lit(True))).drop(key, low, high)
 
@@ -421,4 +426,4 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     measured = cut(measure(docs, fit(docs), as_col=name))
     m = F.col(name)
     bands = fit_bands(measured.select("doc_id", _key(F.col("lang")).alias("lang"), m["bits"].alias("bits"), m["base_failed"].alias("base_failed")), table(spark, sf_dir, "labels"))
-    return judged(measured, F.broadcast(bands) if bands.count() <= 10_000 else bands, lang=F.col("lang"), bits=m["bits"], failed=m["base_failed"], as_col=kept).where(F.col(kept)).select(*docs.columns)
+    return judged(measured, bands, lang=F.col("lang"), bits=m["bits"], failed=m["base_failed"], as_col=kept).where(F.col(kept)).select(*docs.columns)
