@@ -53,6 +53,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: the shuffle files of what is cut go then, and would stay for long in a driver with little to do."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

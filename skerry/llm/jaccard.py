@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, mix64, prepare, table, tidily
+from .common import cut, free, fresh, mix64, prepare, table, tidily
 
 SLACK = 2
 #: Coordinates of a point: powers of two, about a fourth of the set's size, so that unlike sets differ in enough of them.
@@ -103,13 +103,20 @@ def point(x: np.ndarray, dim: int | None = None) -> np.ndarray:
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """The size of a count (one byte, or four where a count is too large), and the counts."""
-    small = counts.max() < 256
-    return (b"\1" if small else b"\4") + counts.astype("u1" if small else "<u4").tobytes()
+    """The bits of a count (4, or 8 or 32 where a count is too large), and the counts."""
+    most = int(counts.max())
+    if most < 16:
+        return b"\4" + (counts[0::2] | counts[1::2] << 4).astype("u1").tobytes()
+    return (b"\x08" + counts.astype("u1").tobytes()) if most < 256 else (b"\x20" + counts.astype("<u4").tobytes())
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "u1" if raw[0] == 1 else "<u4", offset=1).astype(np.int32)
+    if raw[0] == 4:
+        two = np.frombuffer(raw, "u1", offset=1)
+        out = np.empty(2 * len(two), np.int32)
+        out[0::2], out[1::2] = two & 15, two >> 4
+        return out
+    return np.frombuffer(raw, "u1" if raw[0] == 8 else "<u4", offset=1).astype(np.int32)
 
 
 def folded(points: list[np.ndarray]) -> np.ndarray:
@@ -393,15 +400,19 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     by = "over (partition by s)"
     met = sets.select("rep", F.explode("signatures").alias("s")).selectExpr("rep", f"min(rep) {by} as hub", f"max(rep) {by} as last", f"count(*) {by} as n", f"bit_xor(xxhash64(rep)) {by} as x")
     met = cut(met.where("hub != last").select("rep", F.xxhash64("hub", "last", "n", "x").alias("g")).distinct())  # the same sets meet in many groups: once is enough
+    free(spark)
     points = met.join(sets.select("rep", "n"), "rep").withColumn("node", F.col("rep"))
     points = _tiled(points, "g", percent, tile)
     points = _selves(points).unionByName(_pairs(points)).select("g", "t1", "t2", "rep", "tile").join(sets.select("rep", "point"), "rep")
     near = points.select("g", "t1", "t2", "rep", "tile", "point").repartition("g", "t1", "t2").sortWithinPartitions("g", "t1", "t2", "rep").mapInPandas(tidily(_meeting(percent)), "a long, b long")
+    near = cut(near.distinct())
+    free(spark)
     families = components(near).withColumnRenamed("root", "family").join(sets.select(F.col("rep").alias("node"), "n"), "node")
     members = cut(_tiled(families, "family", percent, tile))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     units = ["family", "t1", "t2"]
     links = cut(_links(_selves(members).withColumn("known", F.col("node")).join(texts, "node"), units, percent, words))
+    free(spark)
     large = members.where("size(others) > 0")
     if not large.isEmpty():
         # the smallest members of the tiles' components
