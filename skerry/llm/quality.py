@@ -417,13 +417,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.pow(F.lit(2.0), F.col("bits")).alias("perplexity"))
 
 
-def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str, *, most_sent: int = 200_000) -> DataFrame:
     """The rows that pass the base rules and lie within their language's bounds, with their columns as they were.
 
-    Texts are scored once: the scored rows are a checkpoint. Null, empty and blank texts go; repeated rows stay or go together.
+    Texts are scored once. What is kept of that are two hashes of each text beside its language and measures, so few bytes
+    a row; the rows go whose text and language were rejected. These are sent to all tasks only if they are at most
+    ``most_sent``, else the rows are shuffled. Null, empty and blank texts go; repeated rows stay or go together.
     """
-    name, kept = fresh(docs, "measures"), fresh(docs, "kept")
-    measured = cut(measure(docs, fit(docs), as_col=name))
-    m = F.col(name)
-    bands = fit_bands(measured.select("doc_id", _key(F.col("lang")).alias("lang"), m["bits"].alias("bits"), m["base_failed"].alias("base_failed")), table(spark, sf_dir, "labels"))
-    return judged(measured, bands, lang=F.col("lang"), bits=m["bits"], failed=m["base_failed"], as_col=kept).where(F.col(kept)).select(*docs.columns)
+    h1, h2, key = fresh(docs, "hash_1"), fresh(docs, "hash_2"), fresh(docs, "lang_key")
+    hashes = (F.xxhash64("text").alias(h1), F.xxhash64(F.lit(1), "text").alias(h2), _key(F.col("lang")).alias(key))
+    own = docs.select("doc_id", "text", "lang")
+    rows = cut(measure(own, fit(docs)).select("doc_id", *hashes, "lang", F.col("measures.bits").alias("bits"), F.col("measures.base_failed").alias("base_failed")))
+    bands = fit_bands(rows.select("doc_id", F.col(key).alias("lang"), "bits", "base_failed"), table(spark, sf_dir, "labels"))
+    gone = cut(judged(rows, bands, lang=F.col("lang"), bits=F.col("bits"), failed=F.col("base_failed"), as_col="kept").where("not kept").select(h1, h2, key).distinct())
+    gone = F.broadcast(gone) if gone.count() <= most_sent else gone
+    return docs.withColumns({h1: hashes[0], h2: hashes[1], key: hashes[2]}).join(gone, [h1, h2, key], "left_anti").select(*docs.columns)
