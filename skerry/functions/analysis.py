@@ -98,10 +98,21 @@ class Analyzer:
 
     def tokens(self, text: Column) -> Column:
         """All tokens of a text in order; none for null."""
-        out = self.tokenizer(normalize(F.coalesce(text, F.lit(""))))
-        for f in self.filters:
-            out = f(out)
-        return out
+        return self.tokens_of(F.array(text))
+
+    def tokens_of(self, texts: Column) -> Column:
+        """All tokens of an array of texts, one text after the other.
+
+        Normalised texts are an array of their own, so that each is made once, however often the tokeniser looks at it.
+        """
+
+        def one(text: Column) -> Column:
+            out = self.tokenizer(text)
+            for f in self.filters:
+                out = f(out)
+            return out
+
+        return F.flatten(F.transform(F.transform(texts, lambda x: normalize(F.coalesce(x, F.lit("")))), one))
 
     def analyze(self, df: DataFrame, text_col: str, *keys: str) -> DataFrame:
         """keys, term, tf: how often each term occurs in each text."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import Scorer, bm25
@@ -13,6 +13,8 @@ from ..plans.query import Query
 from ..sources.store import POSTINGS, TERM_DICT, Store, empty
 from .stats import QueryStats
 
+#: Postings of a block, and hits whose documents are looked up by literal ids.
+BLOCK, MOST_LITERALS = 128, 1000
 HITS = "external_id string, score float, segment_id long, doc_id int"
 
 
@@ -73,6 +75,19 @@ class IndexReader:
         found = self.postings().where((F.col("segment_id") == segment_id) & (F.col("term") == term) & (F.col("doc_id") >= target))
         return found.agg(F.min_by(F.struct("doc_id", "tf"), "doc_id").alias("p")).first().p
 
+    def posting_deltas(self, terms: list[str] | None = None) -> DataFrame:
+        """segment_id, term, doc_id, delta: the distance from the term's posting before, of the first from 0; of all terms or some."""
+        rows = self.postings() if terms is None else self.postings().where(F.col("term").isin(terms))
+        before = F.lag("doc_id").over(Window.partitionBy("segment_id", "term").orderBy("doc_id"))
+        return rows.select("segment_id", "term", "doc_id", (F.col("doc_id") - F.coalesce(before, F.lit(0))).alias("delta"))
+
+    def posting_blocks(self, terms: list[str] | None = None, *, size: int = BLOCK) -> DataFrame:
+        """segment_id, term, block, n, first_doc, last_doc: each term's postings in blocks of ``size``."""
+        rows = self.postings() if terms is None else self.postings().where(F.col("term").isin(terms))
+        place = F.row_number().over(Window.partitionBy("segment_id", "term").orderBy("doc_id")) - 1
+        rows = rows.select("segment_id", "term", "doc_id", F.floor(place / size).alias("block"))
+        return rows.groupBy("segment_id", "term", "block").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
     # search
     def scores(self, queries: dict[int, Query]) -> DataFrame:
         """query_id, segment_id, doc_id, score of all matches of several queries: one scan and one sum by key.
@@ -106,9 +121,17 @@ class IndexReader:
         """external_id, score, segment_id, doc_id of the best matches; ties in the order of segments and documents."""
         best = self.matches(query).orderBy(F.desc("score"), "segment_id", "doc_id").offset(offset).limit(topk)
         names = self._table("docs", "segment_id long, doc_id int, external_id string")
-        # the hits are few, so they are what is broadcast
-        found = names.join(F.broadcast(best), ["segment_id", "doc_id"])
-        return found.select("external_id", F.col("score").cast("float").alias("score"), "segment_id", "doc_id").orderBy(F.desc("score"), "segment_id", "doc_id")
+        best, names = self._few(best, topk, names)
+        kind = "float" if self.exact_float else "double"
+        return names.join(best, ["segment_id", "doc_id"]).select("external_id", F.col("score").cast(kind).alias("score"), "segment_id", "doc_id").orderBy(F.desc("score"), "segment_id", "doc_id")
+
+    def _few(self, hits: DataFrame, most: int, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Hits as a broadcast side, and of the documents those that may be theirs: the ids of few hits reach the scan as literals, where statistics prune by them."""
+        if most > MOST_LITERALS:
+            return hits, docs
+        rows = hits.collect()  # at most ``most``
+        docs = docs.where(F.col("segment_id").isin(sorted({r.segment_id for r in rows})) & F.col("doc_id").isin(sorted({r.doc_id for r in rows})))
+        return F.broadcast(self.spark.createDataFrame(rows, hits.schema)), docs
 
     def search(self, query: Query, topk: int = 10, *, count_matches: bool = False) -> SearchResult:
         began = time.perf_counter()
@@ -121,9 +144,10 @@ class IndexReader:
 
     def search_with_stored(self, query: Query, topk: int = 10, *, offset: int = 0) -> DataFrame:
         """The best matches with their stored fields."""
-        hits = self.top(query, topk, offset=offset)
-        docs = self.documents().select("segment_id", "doc_id", "stored")
-        return docs.join(F.broadcast(hits), ["segment_id", "doc_id"]).select("external_id", "score", "segment_id", "doc_id", *[F.col("stored")[n].alias(n) for n in self.schema.stored_fields if n not in ("external_id", "score", "segment_id", "doc_id")]).orderBy(F.desc("score"), "segment_id", "doc_id")
+        hits = self.matches(query).orderBy(F.desc("score"), "segment_id", "doc_id").offset(offset).limit(topk)
+        hits, docs = self._few(hits, topk, self.documents().select("segment_id", "doc_id", "external_id", "stored"))
+        hits = hits.withColumn("score", F.col("score").cast("float" if self.exact_float else "double"))
+        return docs.join(hits, ["segment_id", "doc_id"]).select("external_id", "score", "segment_id", "doc_id", *[F.col("stored")[n].alias(n) for n in self.schema.stored_fields if n not in ("external_id", "score", "segment_id", "doc_id")]).orderBy(F.desc("score"), "segment_id", "doc_id")
 
     # documents
     def get_document(self, external_id: str) -> dict[str, str] | None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,11 @@ from .reader import IndexReader
 from .stats import IndexStats
 
 
+TABLES = ("docs", "postings", "term_dict")
+#: A stream repeats its last batch only, so ids of long past ones needn't be known.
+BATCHES_KEPT = 1000
+
+
 @dataclass(frozen=True)
 class IndexWriterOptions:
     index_dir: str
@@ -47,14 +53,13 @@ def documents_of(df: DataFrame, schema: Schema, external_id_field: str) -> DataF
 
 def analyzed(docs: DataFrame, schema: Schema, analyzer: Analyzer) -> DataFrame:
     """The documents with ``tokens``, an array a text field of the tokens of all its values."""
-    per = [F.flatten(F.transform(F.col("texts")[n], analyzer.tokens)) for n in schema.text_fields]
+    per = [analyzer.tokens_of(F.col("texts")[n]) for n in schema.text_fields]
     return docs.withColumn("tokens", F.array(*per) if per else F.array().cast("array<array<string>>")).drop("texts")
 
 
 def postings_of(docs: DataFrame) -> DataFrame:
-    """segment_id, term, doc_id, tf, doc_length: one sum by key, with partial sums before the shuffle."""
-    lengths = F.aggregate(F.transform("tokens", lambda x: F.size(x)), F.lit(0), lambda a, x: a + x)
-    terms = docs.select("segment_id", "doc_id", lengths.alias("doc_length"), F.explode(F.flatten("tokens")).alias("term"))
+    """segment_id, term, doc_id, tf, doc_length of frames with doc_length and tokens: one sum by key, with partial sums before the shuffle."""
+    terms = docs.select("segment_id", "doc_id", "doc_length", F.explode("tokens").alias("term"))
     return terms.groupBy("segment_id", "term", "doc_id", "doc_length").agg(F.count("*").cast("int").alias("tf")).select("segment_id", "term", "doc_id", "tf", "doc_length")
 
 
@@ -98,7 +103,7 @@ class IndexWriter:
 
     def add_documents(self, df: DataFrame, *, on_invalid: str = "raise") -> DataFrame | None:
         """Log a batch. Ids that are missing, empty, repeated in the batch or taken raise, or with ``on_invalid="reject"``
-        are left out (of repeated ones the first stays) and returned with the reason.
+        are left out (of repeated ones the first stays) and returned with the reason, in a table that stays until ``vacuum``.
         """
         o = self.options
         docs = documents_of(df, self.schema, o.external_id_field).withColumn("order", F.monotonically_increasing_id())
@@ -115,9 +120,14 @@ class IndexWriter:
         stored = [F.array(F.struct(F.lit(n).alias("name"), F.col("stored")[n].alias("value"))) for n in self.schema.stored_fields if n not in self.schema.text_fields]
         parts = [*fields, *stored]
         good = checked.where("reason is null").select(F.col("order").alias("internal_id"), "external_id", F.flatten(F.array(*parts)).alias("fields"))
+        kept = None
+        if on_invalid == "reject":  # written before the log changes, as the check depends on it
+            name = f"rejected/{uuid.uuid4().hex}"
+            bad.write.parquet(f"{self.store.path}/{name}")
+            kept = self.spark.read.schema("external_id string, reason string").parquet(f"{self.store.path}/{name}")
         self._pending.append(self.wal.append_add(good))
         self.stats.docs_added.inc(self.wal.records(self._pending[-1:]).count())
-        return bad if on_invalid == "reject" else None
+        return kept
 
     def add_document(self, document: dict[str, str | list[str]]) -> None:
         """One document; for many, ``add_documents`` is a single job."""
@@ -130,15 +140,16 @@ class IndexWriter:
         return self._postings_of_pending().count() if self._pending else 0
 
     def _documents_of_pending(self) -> DataFrame:
-        rows = self.wal.replay().where("op = 'ADD'").where(F.col("batch").isin(self._pending))
+        rows = self.wal.live(self._pending)
         value = lambda n: F.transform(F.filter("fields", lambda x: x["name"] == n), lambda x: x["value"])
         texts = [value(n).alias(n) for n in self.schema.text_fields] or [F.lit(None).alias("_")]
         stored = [F.coalesce(F.get(value(n), F.lit(0)), F.lit("")).alias(n) for n in self.schema.stored_fields] or [F.lit(None).cast("string").alias("_")]
-        return rows.select("batch", "seq", "external_id", F.struct(*texts).alias("texts"), F.struct(*stored).alias("stored"))
+        return rows.select("batch", "internal_id", "external_id", F.struct(*texts).alias("texts"), F.struct(*stored).alias("stored"))
 
     def _postings_of_pending(self) -> DataFrame:
         docs = self._documents_of_pending().withColumn("segment_id", F.lit(0)).withColumn("doc_id", F.xxhash64("external_id"))
-        return postings_of(analyzed(docs, self.schema, self.options.analyzer))
+        docs = analyzed(docs, self.schema, self.options.analyzer).withColumn("tokens", F.flatten("tokens"))
+        return postings_of(docs.withColumn("doc_length", F.size("tokens")))
 
     # segments
     def flush(self, *, batch_id: str | None = None) -> list[int]:
@@ -150,36 +161,68 @@ class IndexWriter:
             self.wal.truncate()
             self._pending = []
             return []
-        docs = self._documents_of_pending()
-        n = docs.count()
+        docs, n = self._numbered(self._documents_of_pending())
         if not n:
             self.wal.truncate()
             self._pending = []
             return []
         parts, start = -(-n // self.options.max_docs_per_segment), self.manifest.next_segment
-        docs = docs.withColumn("segment_id", (F.pmod(F.xxhash64("external_id"), F.lit(parts)) + start).cast("long"))
-        in_order = Window.partitionBy("segment_id").orderBy("batch", "seq")
-        docs = docs.withColumn("doc_id", (F.row_number().over(in_order) - 1).cast("int")).drop("batch", "seq")
+        size = -(-n // parts)
+        docs = docs.withColumn("segment_id", (F.floor(F.col("number") / size) + start).cast("long")).withColumn("doc_id", (F.col("number") % size).cast("int")).drop("number")
         metas = self._write(analyzed(docs, self.schema, self.options.analyzer), list(range(start, start + parts)))
         m = self.manifest
-        self._publish(replace(m, segments=(*m.segments, *metas), next_segment=start + parts, batches=(*m.batches, *([batch_id] if batch_id is not None else []))))
+        batches = (*m.batches, batch_id)[-BATCHES_KEPT:] if batch_id is not None else m.batches
+        self._publish(replace(m, segments=(*m.segments, *metas), next_segment=start + parts, batches=batches))
         self.wal.truncate()
         self._pending = []
         self.stats.flushes.inc()
         return [s.segment_id for s in metas]
 
+    @staticmethod
+    def _numbered(docs: DataFrame) -> tuple[DataFrame, int]:
+        """The documents with ``number``, from 0 in the order in which they were added, and how many there are.
+
+        An internal id holds the partition that a document came in and its place there. Numbers are counts of the partitions
+        before, and that place; no row but counts and ids meets others.
+        """
+        part = (F.col("batch"), F.shiftright("internal_id", 33).alias("part"))
+        counts = docs.groupBy(*part).agg(F.count("*").alias("n"), F.max(F.col("internal_id").bitwiseAND((1 << 33) - 1)).alias("last")).toPandas()  # a row a partition
+        counts = counts.sort_values(["batch", "part"])
+        n = int(counts.n.sum())
+        if not n:
+            return docs, 0
+        counts["first"] = counts.n.cumsum() - counts.n
+        firsts = docs.sparkSession.createDataFrame([tuple(map(int, x)) for x in counts[["batch", "part", "first"]].itertuples(index=False)], "batch long, part int, first long")
+        place = F.col("internal_id").bitwiseAND((1 << 33) - 1)
+        if (counts["last"] + 1 != counts.n).any():  # some were rejected, or removed before they were flushed
+            ids = docs.select("batch", "internal_id", part[1])
+            ids = ids.withColumn("place", F.row_number().over(Window.partitionBy("batch", "part").orderBy("internal_id")) - 1).drop("part")
+            docs, place = docs.join(ids, ["batch", "internal_id"]), F.col("place")
+        docs = docs.withColumn("part", F.shiftright("internal_id", 33).cast("int")).join(F.broadcast(firsts) if len(counts) <= 100_000 else firsts, ["batch", "part"])
+        return docs.withColumn("number", F.col("first") + place).drop("batch", "internal_id", "part", "place", "first"), n
+
+    def _clear(self, ids: list[int]) -> None:
+        """Remove what an attempt that failed before it was published has left of segments."""
+        for t in TABLES:
+            for i in ids:
+                self.store.delete(f"{t}/segment_id={i}")
+
     def _write(self, docs: DataFrame, ids: list[int]) -> list[SegmentMeta]:
-        """Write the tables of new segments from analysed documents."""
+        """Write the tables of new segments from analysed documents, which are written once and read for each table."""
+        self._clear(ids)
+        staged = f"{self.store.path}/staging/{uuid.uuid4().hex}"
         lengths = F.transform("tokens", lambda x: F.size(x))
-        rows = docs.select("segment_id", "doc_id", "external_id", F.aggregate(lengths, F.lit(0), lambda a, x: a + x).alias("doc_length"), lengths.alias("field_lengths"), "stored")
-        rows.write.mode("append").partitionBy("segment_id").parquet(f"{self.store.path}/docs")
+        docs.select("segment_id", "doc_id", "external_id", F.aggregate(lengths, F.lit(0), lambda a, x: a + x).alias("doc_length"), lengths.alias("field_lengths"), "stored", F.flatten("tokens").alias("tokens")).write.parquet(staged)
+        docs = self.spark.read.parquet(staged)
+        docs.drop("tokens").repartitionByRange("segment_id", "doc_id").sortWithinPartitions("segment_id", "doc_id").write.mode("append").partitionBy("segment_id").parquet(f"{self.store.path}/docs")
         self._write_postings(postings_of(docs))
-        return self._metas(ids)
+        metas = self._metas(ids)
+        self.store.delete(staged.removeprefix(f"{self.store.path}/"))
+        return metas
 
     def _write_postings(self, postings: DataFrame) -> None:
         # ranges of (term, document): files hold few terms each, and a term that most documents have is spread
-        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        ranged = postings.repartitionByRange(n, "segment_id", "term", "doc_id").sortWithinPartitions("segment_id", "term", "doc_id")
+        ranged = postings.repartitionByRange("segment_id", "term", "doc_id").sortWithinPartitions("segment_id", "term", "doc_id")
         ranged.write.mode("append").partitionBy("segment_id").parquet(f"{self.store.path}/postings")
 
     def _metas(self, ids: list[int]) -> list[SegmentMeta]:
@@ -187,7 +230,7 @@ class IndexWriter:
         got = {r.segment_id: r for r in docs.groupBy("segment_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_length"), F.lit(0)).alias("t")).collect()}
         postings = self.store.table("postings", [i for i in ids if self.store.exists(f"postings/segment_id={i}")], "segment_id long, term string, doc_id int")
         terms = postings.groupBy("segment_id", "term").agg(F.count("*").cast("int").alias("doc_freq"))
-        terms.repartitionByRange(8, "segment_id", "term").sortWithinPartitions("segment_id", "term").write.mode("append").partitionBy("segment_id").parquet(f"{self.store.path}/term_dict")
+        terms.repartitionByRange("segment_id", "term").sortWithinPartitions("segment_id", "term").write.mode("append").partitionBy("segment_id").parquet(f"{self.store.path}/term_dict")
         return [SegmentMeta(i, got[i].n, got[i].t, got[i].t / got[i].n if got[i].t else 0.0) for i in ids if i in got]
 
     def _publish(self, manifest: Manifest) -> None:
@@ -224,7 +267,7 @@ class IndexWriter:
     def merge(self, ids: list[int], *, new_id: int | None = None, publish: bool = True, purge: bool = True) -> SegmentMeta:
         """Join segments, in the order given, to one. Document ids follow on; deleted documents go unless ``purge`` is false.
 
-        With ``publish`` the new segment takes the others' place; without, it is only written.
+        With ``publish`` the new segment takes the others' place; without, it is only written. An id that any kept version uses is refused.
         """
         if not ids:
             raise InvalidArgumentError("no segments to merge")
@@ -232,6 +275,9 @@ class IndexWriter:
         if missing := [i for i in ids if i not in known]:
             raise InvalidArgumentError(f"unknown segments {missing}")
         target = self.manifest.next_segment if new_id is None else new_id
+        if any(target in self.store.load(v)[0].ids for v in self.store.versions()):
+            raise InvalidArgumentError(f"segment {target} is in use")
+        self._clear([target])
         spark = self.spark
         dead = self.store.deletes(self.manifest).where(F.col("segment_id").isin(ids)) if purge else None
         first, offsets = 0, []
@@ -251,7 +297,7 @@ class IndexWriter:
             renumber = docs.select(F.col("doc_id").alias("old"), F.floor(F.col("doc_id") / 65536).alias("range"))
             within = Window.partitionBy("range").orderBy("old")
             counts = renumber.groupBy("range").agg(F.count("*").alias("k"))
-            base = counts.select("range", F.coalesce(F.sum("k").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+            base = counts.select("range", F.coalesce(F.sum("k").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for 65,536 documents
             renumber = renumber.withColumn("k", F.row_number().over(within) - 1).join(base, "range").select("old", (F.col("k") + F.col("base")).cast("int").alias("new"))
             swap = lambda rows: rows.join(renumber, rows["doc_id"] == renumber["old"]).withColumn("doc_id", F.col("new")).drop("old", "new")
             docs, postings = swap(docs), swap(postings)
@@ -267,7 +313,12 @@ class IndexWriter:
         if publish:
             m = self.manifest
             rest = tuple(s for s in m.segments if s.segment_id not in ids)
-            self._publish(replace(m, segments=(*rest, *([meta] if n else [])), next_segment=max(m.next_segment, target + 1)))
+            deletes = m.delete_versions
+            if deletes and purge:  # what is purged needn't be hidden any more
+                left = self.store.deletes(m).where(F.col("segment_id").isin([s.segment_id for s in rest]))
+                left.write.mode("overwrite").parquet(f"{self.store.path}/deletes/version={m.version + 1}")
+                deletes = () if left.isEmpty() else (m.version + 1,)
+            self._publish(replace(m, segments=(*rest, *([meta] if n else [])), next_segment=max(m.next_segment, target + 1), delete_versions=deletes))
         return meta
 
     def docs_schema(self) -> str:
@@ -275,17 +326,21 @@ class IndexWriter:
         return f"segment_id long, doc_id int, external_id string, doc_length int, field_lengths array<int>, stored struct<{stored}>"
 
     def vacuum(self, *, keep_versions: int = 1) -> list[int]:
-        """Delete the files of segments, and the manifests, that none of the last versions names; returns the segments."""
+        """Delete the files of segments and deletes, the manifests, the left-overs and the lists of rejected documents that none of the last versions needs; returns the segments."""
         known = self.store.versions()
         kept, old = known[-max(1, keep_versions) :], known[: -max(1, keep_versions)]
-        used = {i for v in kept for i in self.store.load(v)[0].ids}
-        have = {int(n.partition("=")[2]) for t in ("docs", "postings", "term_dict") for n in self.store.names(t) if n.startswith("segment_id=")}
-        for i in sorted(have - used):
-            for t in ("docs", "postings", "term_dict"):
-                self.store.delete(f"{t}/segment_id={i}")
+        manifests = [self.store.load(v)[0] for v in kept]
+        used, hidden = {i for m in manifests for i in m.ids}, {v for m in manifests for v in m.delete_versions}
+        numbers = lambda t: {int(n.partition("=")[2]) for n in self.store.names(t) if "=" in n}
+        gone = sorted({i for t in TABLES for i in numbers(t)} - used)
+        self._clear(gone)
+        for v in numbers("deletes") - hidden:
+            self.store.delete(f"deletes/version={v}")
         for v in old:
             self.store.delete(f"manifests/{v}.json")
-        return sorted(have - used)
+        for name in ("staging", "rejected"):
+            self.store.delete(name)
+        return gone
 
     def get_reader(self, **options) -> IndexReader:
         """A reader of the flushed segments as they are now."""

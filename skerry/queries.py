@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import analysis, scoring
@@ -18,6 +18,7 @@ from .operators.stats import histogram, percentile
 from .operators.writer import IndexWriter, IndexWriterOptions
 from .plans.query import Query, build_query
 from .sources.schema import Schema
+from .sources.wal import WriteAheadLog
 
 T, AND, OR, NOT = Query.Term, Query.And, Query.Or, Query.Not
 _kept: dict[tuple, IndexWriter] = {}
@@ -66,6 +67,10 @@ def _named(reader: IndexReader, hits: DataFrame) -> DataFrame:
     return reader.resolve(hits).select(F.col("external_id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+def _ids(hits: DataFrame, *more: str) -> DataFrame:
+    return hits.select(F.col("external_id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), *more)
+
+
 def _search(query: Query, parts: int = 1):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         reader = _reader(spark, sf_dir, parts=parts)
@@ -75,8 +80,7 @@ def _search(query: Query, parts: int = 1):
 
 
 def term_topk(spark: SparkSession, sf_dir: str, k: int = 10, page: int = 1) -> DataFrame:
-    reader = _reader(spark, sf_dir)
-    return _named(reader, reader.matches(T("that"))).orderBy(F.desc("score"), "doc_id").offset((page - 1) * k).limit(k)
+    return _ids(_reader(spark, sf_dir).top(T("that"), k, offset=(page - 1) * k))
 
 
 def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,14 +90,12 @@ def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_with_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reader = _reader(spark, sf_dir)
-    best = term_topk(spark, sf_dir)
-    stored = reader.documents().select(F.col("external_id").cast("long").alias("doc_id"), F.col("stored.lang").alias("lang"), F.col("stored.source").alias("source"))
-    return stored.join(F.broadcast(best), "doc_id").select("doc_id", "score", "lang", "source")
+    return _ids(_reader(spark, sf_dir).search_with_stored(T("that"), 10), "lang", "source")
 
 
 def get_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reader(spark, sf_dir).documents().where(F.col("external_id") == "7").select(F.col("stored.doc_id").alias("doc_id"), F.col("stored.lang").alias("lang"), F.col("stored.source").alias("source"))
+    found = _reader(spark, sf_dir).get_document("7")
+    return spark.createDataFrame([found] if found else [], "doc_id string, lang string, source string")
 
 
 def _term_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,14 +205,20 @@ def merged_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_external_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("external_id"), "event_id")
-    return rows.groupBy("external_id").agg(F.min("event_id").alias("event_id"))  # the first of each
+    """The events in their order as documents of their user: the first of each is taken, the others are rejected."""
+    writer = IndexWriter(spark, IndexWriterOptions(_folder(spark, "events"), Schema().keyword("user_id").keyword("event_id").text("event_type"), "user_id"))
+    writer.add_documents(_table(spark, sf_dir, "events").orderBy("event_id"), on_invalid="reject")
+    docs = writer.refresh_reader().documents()
+    return docs.select(F.col("external_id").cast("long").alias("external_id"), F.col("stored.event_id").cast("long").alias("event_id"))
 
 
 def wal_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    op = F.when(F.col("event_type") == "purchase", "ADD").otherwise("REMOVE")
-    return _table(spark, sf_dir, "events").withColumn("n", F.row_number().over(last)).where("n = 1").select("user_id", "event_id", op.alias("op"))
+    """The events in order of time as operations of their user, logged and replayed."""
+    log = WriteAheadLog(spark, _folder(spark, "log"))
+    op = F.when(F.col("event_type") == "purchase", "ADD").otherwise("REMOVE").alias("op")
+    fields = F.array(F.struct(F.lit("event_type").alias("name"), F.col("event_type").alias("value"))).alias("fields")
+    log.append(_table(spark, sf_dir, "events").orderBy("ts", "event_id").select(op, F.col("event_id").alias("internal_id"), F.col("user_id").alias("external_id"), fields))
+    return log.replay().select(F.col("external_id").cast("long").alias("user_id"), F.col("internal_id").alias("event_id"), "op")
 
 
 BOUNDS = (1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0)
@@ -225,19 +233,39 @@ def histogram_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def advance_to(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _term_rows(spark, sf_dir).where("term in ('that', 'les', 'und') and doc_id >= 100")
-    return rows.groupBy("term").agg(F.min("doc_id").alias("doc_id"))
+    """Each of three terms' first posting at or after the document of id 100."""
+    reader = _reader(spark, sf_dir)
+    at = reader.find_doc_id("100")
+    found = [(t, p.doc_id) for t in ("that", "les", "und") if at and (p := reader.advance_to(t, at[1], segment_id=at[0]))]
+    hits = spark.createDataFrame([(at[0], d, t) for t, d in found], "segment_id long, doc_id int, term string")
+    return reader.resolve(hits).select("term", F.col("external_id").cast("long").alias("doc_id"))
 
 
 def posting_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    in_order = Window.partitionBy("term").orderBy("doc_id")
-    return _term_rows(spark, sf_dir).where("term in ('that', 'les', 'und')").select("term", "doc_id", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(in_order), F.lit(0))).alias("delta"))
+    return _reader(spark, sf_dir).posting_deltas().select("term", F.col("doc_id").cast("long").alias("doc"), F.col("delta").cast("long").alias("delta"))
 
 
 def posting_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    in_order = Window.partitionBy("term").orderBy("doc_id")
-    rows = _term_rows(spark, sf_dir).where("term in ('that', 'les', 'und')").withColumn("block", F.floor((F.row_number().over(in_order) - 1) / 128))
-    return rows.groupBy("term", "block").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    return _reader(spark, sf_dir).posting_blocks().select("term", "block", "n", F.col("first_doc").cast("long").alias("first_doc"), F.col("last_doc").cast("long").alias("last_doc"))
+
+
+def retry_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings by document after a flush that failed once everything but the manifest was written, and was run again."""
+    schema, id_field = SCHEMAS["documents"]
+    writer = IndexWriter(spark, IndexWriterOptions(_folder(spark, "retry"), schema, id_field))
+    writer.add_documents(_table(spark, sf_dir, "documents"))
+    writer._publish = _fail
+    try:
+        writer.flush()
+    except InterruptedError:
+        pass
+    reader = IndexWriter(spark, writer.options).refresh_reader()
+    rows = reader.resolve(reader.postings())
+    return rows.groupBy(F.col("external_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n_terms"), F.sum("tf").cast("long").alias("n_tokens"))
+
+
+def _fail(*_) -> None:
+    raise InterruptedError("before the manifest")
 
 
 def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,8 +282,7 @@ def combine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_multifield_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     term = _reader(spark, sf_dir, "part")
-    word = "steel"
-    return term.resolve(term.matches(T(word))).select(F.col("external_id").cast("long").alias("p_partkey"), F.round("score", 6).alias("score"))
+    return term.resolve(term.matches(OR(T("red"), T("economy")))).select(F.col("external_id").cast("long").alias("p_partkey"), F.round("score", 6).alias("score"))
 
 
 def conversation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,6 +342,7 @@ QUERIES = {
     "latency_histogram": latency_histogram,
     "histogram_percentile": histogram_percentile,
     "advance_to": advance_to,
+    "retry_flush": retry_flush,
     "posting_deltas": posting_deltas,
     "posting_blocks": posting_blocks,
     "bm25_idf": bm25_idf,
@@ -425,11 +453,12 @@ ORACLE_SQL = {
     "latency_histogram": f"{_HIST}select bucket, upper, n, cumulative from hist",
     "histogram_percentile": f"{_HIST}select coalesce(min(upper) filter (where cumulative >= ceil(0.95 * (select max(cumulative) from hist))), 0.0)::double as percentile from hist",
     "advance_to": f"{_with()}select term, min(doc_id) as doc_id from post where {_THREE} and doc_id >= 100 group by term",
-    "posting_deltas": f"{_with()}select term, doc_id, doc_id - coalesce(lag(doc_id) over (partition by term order by doc_id), 0) as delta from post where {_THREE}",
-    "posting_blocks": f"{_with()}, q as (select term, doc_id, (row_number() over (partition by term order by doc_id) - 1) // 128 as block from post where {_THREE}) select term, block::bigint as block, count(*) as n, min(doc_id) as first_doc, max(doc_id) as last_doc from q group by term, block",
+    "retry_flush": f"{_with()}select doc_id, count(*) as n_terms, sum(tf)::bigint as n_tokens from post group by doc_id",
+    "posting_deltas": f"{_with()}, numbered as (select doc_id, row_number() over (order by doc_id) - 1 as doc from ids) select term, doc, doc - coalesce(lag(doc) over (partition by term order by doc), 0) as delta from post join numbered using (doc_id)",
+    "posting_blocks": f"{_with()}, numbered as (select doc_id, row_number() over (order by doc_id) - 1 as doc from ids), q as (select term, doc, (row_number() over (partition by term order by doc) - 1) // 128 as block from post join numbered using (doc_id)) select term, block::bigint as block, count(*) as n, min(doc) as first_doc, max(doc) as last_doc from q group by term, block",
     "bm25_idf": f"{_with()}select term, round(ln((n-df+0.5)/(df+0.5)+1.0), 6) as idf from df, st",
     "combine_scores": f"{_with()}select doc_id, round(sum(ln((n-df+0.5)/(df+0.5)+1.0)), 6) as score from post join df using (seg, term), st where term in ('that', 'with', 'les', 'und') group by doc_id",
-    "part_multifield_search": _scores(_or("steel"), name="p_partkey", table="part", key="p_partkey", text="p_name+p_type"),
+    "part_multifield_search": _scores(_or("red", "economy"), name="p_partkey", table="part", key="p_partkey", text="p_name+p_type"),
     "conversation_search": _scores(_or("the", "of"), name="id", table="conversations", id_expr="concat_ws('-', conv_id, turn)"),
     "html_page_search": _scores(_and(_or("article"), _or("with")), name="page_id", table="pages", key="page_id", text="html"),
 }

@@ -32,6 +32,10 @@ class WriteAheadLog:
         self._next += 1
         return batch
 
+    def append(self, rows: DataFrame) -> int:
+        """Operations of both kinds in the order of a frame with op (ADD or REMOVE), internal_id, external_id and fields; returns the batch's number."""
+        return self._append(rows.select(F.lit(self._next).cast("long").alias("batch"), F.monotonically_increasing_id().alias("seq"), "op", F.col("internal_id").cast("long").alias("internal_id"), F.col("external_id").cast("string").alias("external_id"), "fields"))
+
     def append_add(self, docs: DataFrame) -> int:
         """Of a frame with internal_id, external_id and fields; returns the batch's number."""
         return self._append(docs.select(F.lit(self._next).cast("long").alias("batch"), F.monotonically_increasing_id().alias("seq"), F.lit("ADD").alias("op"), F.col("internal_id").cast("long").alias("internal_id"), "external_id", "fields"))
@@ -67,6 +71,17 @@ class WriteAheadLog:
         last = Window.partitionBy("external_id").orderBy(F.desc("batch"), F.desc("seq"))
         return self.records().withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
 
+    def live(self, batches: list[int]) -> DataFrame:
+        """The added documents of some batches that no later operation has removed or replaced.
+
+        Only ids are compared; without a removal in the log there is nothing to compare, as no id is added twice.
+        """
+        added = self.records(batches).where("op = 'ADD'")
+        if self.records().where("op = 'REMOVE'").isEmpty():
+            return added
+        last = self.records().groupBy("external_id").agg(F.max(F.struct("batch", "seq")).alias("at")).select(F.col("at.batch").alias("batch"), F.col("at.seq").alias("seq"))
+        return added.join(last, ["batch", "seq"], "left_semi")
+
     def bytes_written(self) -> int:
         """Bytes of the operations, their ids and kinds, without the fields' values."""
         return self.records().agg(F.coalesce(F.sum(F.octet_length("external_id") + F.when(F.col("op") == "ADD", 7).otherwise(3)), F.lit(0))).first()[0]

@@ -286,3 +286,94 @@ def test_stream(spark, tmp_path):
     assert sorted(ids(w.get_reader().search(T("stream")))) == ["1", "2"]
     assert ids(w.get_reader().search(T("again"))) == ["3"]
     assert [r.external_id for r in rejected] == ["2"] and len(w.manifest.batches) == 2
+
+
+@pytest.mark.parametrize("step", ["_write_postings", "_metas", "_publish"])
+def test_a_flush_that_failed_can_be_run_again(spark, tmp_path, step):
+    w = writer(spark, tmp_path)
+    w.add_documents(rows(spark, "alpha beta beta", "alpha"))
+    real = getattr(w, step)
+
+    def broken(*args):
+        if step != "_publish":
+            real(*args)
+        raise InterruptedError
+
+    setattr(w, step, broken)
+    with pytest.raises(InterruptedError):
+        w.flush()
+    again = writer(spark, tmp_path)
+    again.flush()
+    r = again.get_reader()
+    assert ids(r.search(T("alpha"))) == ["2", "1"] and r.documents().count() == 2
+    assert sorted((p.term, p.doc_id, p.tf) for p in r.postings().collect()) == [("alpha", 0, 1), ("alpha", 1, 1), ("beta", 0, 2)]
+    assert sorted((t.term, t.doc_freq) for t in r.term_dict().collect()) == [("alpha", 2), ("beta", 1)]
+
+
+def test_used_ids_rejected_rows_and_reclaimed_deletes(spark, tmp_path):
+    with writer(spark, tmp_path) as w:
+        w.add_documents(rows(spark, "a", "b", "c"))
+    rejected = w.add_documents(rows(spark, "again", "new", first=3), on_invalid="reject")
+    w.flush()
+    assert [tuple(r) for r in rejected.collect()] == [("3", "taken external id")]  # after the log is gone
+    with pytest.raises(InvalidArgumentError):
+        w.merge([0, 1], new_id=1)
+    w.remove_document("1")
+    w.remove_document("4")
+    assert len(w.manifest.delete_versions) == 2
+    w.merge([0])
+    assert len(w.manifest.delete_versions) == 1 and ids(w.get_reader().search(T("new"))) == []
+    w.merge(w.manifest.ids)
+    assert w.manifest.delete_versions == () and sorted(d.external_id for d in w.get_reader().documents().collect()) == ["2", "3"]
+    w.vacuum()
+    assert w.store.names("deletes") == []
+
+
+def test_insertion_order_is_kept(spark, tmp_path):
+    w = writer(spark, tmp_path)
+    order = [str(k * 37 % 100) for k in range(100)]
+    w.add_documents(spark.createDataFrame([(i, "same") for i in order], "id string, text string").coalesce(1))
+    w.remove_document(order[5])
+    w.flush()
+    got = [r.external_id for r in w.get_reader().documents().orderBy("doc_id").collect()]
+    assert got == order[:5] + order[6:]
+
+
+def test_deltas_and_blocks(one):
+    r = one.get_reader()
+    assert [tuple(x)[2:] for x in r.posting_deltas(["learning"]).orderBy("doc_id").collect()] == [(2, 2), (3, 1), (5, 2)]
+    assert [tuple(x)[2:] for x in r.posting_blocks(["learning"], size=2).orderBy("block").collect()] == [(0, 2, 2, 3), (1, 1, 5, 5)]
+
+
+def test_own_scorer_missing_names_and_schema_lookups(one):
+    from pyspark.sql import functions as F
+
+    r = IndexReader(one.spark, one.options.index_dir, scorer=lambda tf, df, dl, n, avgdl: tf * F.lit(1.0))
+    assert [(d.external_id, d.score) for d in r.search(T("guitar")).docs] == [("6", 2.0)]
+    hits = one.spark.createDataFrame([(0, 1), (0, 99)], "segment_id long, doc_id int")
+    assert sorted(x.external_id for x in r.resolve(hits, missing="?").collect()) == ["2", "?"]
+    assert sorted(x.external_id for x in r.resolve(hits).collect()) == ["2", "99"]
+
+
+def test_http_server(spark, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from skerry.operators.search_api import serve
+
+    w = writer(spark, tmp_path, Schema().text("title", stored=True).text("content").keyword("doc_id"), "doc_id")
+    server = serve(Engine(w), 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+    get = lambda url, data=None: json.loads(urllib.request.urlopen(urllib.request.Request(base + url, data=data)).read())
+    try:
+        assert get("/api/document", b'{"title": "Hello", "content": "plain words"}') == {"doc_id": "1000"}
+        assert get("/api/search?q=hello")["results"][0]["doc_id"] == "1000"
+        assert get("/api/document/1000")["title"] == "Hello"
+        for url, data, code in (("/api/document/7", None, 404), ("/x", None, 404), ("/api/document", b"{}", 400)):
+            with pytest.raises(urllib.error.HTTPError) as e:
+                get(url, data)
+            assert e.value.code == code
+    finally:
+        server.shutdown()
