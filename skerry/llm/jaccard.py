@@ -399,11 +399,14 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     sets = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signatures").alias("signatures"), F.first("point").alias("point"))
     by = "over (partition by s)"
     met = sets.select("rep", F.explode("signatures").alias("s")).selectExpr("rep", f"min(rep) {by} as hub", f"max(rep) {by} as last", f"count(*) {by} as n", f"bit_xor(xxhash64(rep)) {by} as x")
-    met = cut(met.where("hub != last").select("rep", F.xxhash64("hub", "last", "n", "x").alias("g")).distinct())  # the same sets meet in many groups: once is enough
+    met = cut(met.where("hub != last").select("rep", F.xxhash64("hub", "last", "n", "x").alias("g"), F.col("n").alias("total")).distinct())  # the same sets meet in many groups: once is enough
     free(spark)
-    points = met.join(sets.select("rep", "n"), "rep").withColumn("node", F.col("rep"))
-    points = _tiled(points, "g", percent, tile)
-    points = _selves(points).unionByName(_pairs(points)).select("g", "t1", "t2", "rep", "tile").join(sets.select("rep", "point"), "rep")
+    points = met.where(F.col("total") <= tile).select("g", F.lit(0).cast("long").alias("t1"), F.lit(0).cast("long").alias("t2"), "rep", F.lit(-1).cast("long").alias("tile"))
+    many = met.where(F.col("total") > tile).drop("total")
+    if not many.isEmpty():
+        many = cut(_tiled(many.join(sets.select("rep", "n"), "rep").withColumn("node", F.col("rep")), "g", percent, tile))
+        points = points.unionByName(_selves(many).unionByName(_pairs(many)).select("g", "t1", "t2", "rep", "tile"))
+    points = points.join(sets.select("rep", "point"), "rep")
     near = points.select("g", "t1", "t2", "rep", "tile", "point").repartition("g", "t1", "t2").sortWithinPartitions("g", "t1", "t2", "rep").mapInPandas(tidily(_meeting(percent)), "a long, b long")
     near = cut(near.distinct())
     free(spark)
