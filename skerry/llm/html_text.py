@@ -37,6 +37,8 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME_PART = re.compile(r"[a-z]+")
+#: Names that say what stands beside an element or not, rather than what it is.
+LAYOUT = re.compile(r"(?<!\S)(?:no|has|with|without)[-_]\S+|(?<!\S)\S+[-_](?:free|less)(?!\S)")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -63,7 +65,7 @@ def _traits(tag: str, attrs: str) -> tuple[bool, float]:
     out = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(got.get("style", "").lower())) or not ROLES.isdisjoint(got.get("role", "").lower().split())
     own = set()
     for k in ("class", "id"):
-        own.update(NAME_PART.findall(unescape(got.get(k, "")).lower()))
+        own.update(NAME_PART.findall(LAYOUT.sub(" ", unescape(got.get(k, "")).lower())))
     if own & UNWANTED:
         out = True
     if own & WANTED:

@@ -19,3 +19,9 @@ def test_menus_are_dropped():
     for page in (f"<body><ul>{LINKS}</ul>{PROSE}</body>", f"<body><article>{PROSE}<ul class='nav'>{LINKS}</ul></article></body>", f"<body><ul>{LINKS}</ul><article>{PROSE}</article></body>"):
         got = html_text.extract(page)
         assert "sentence 5" in got and "A reference" not in got
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "post has-comments", "layout with-sidebar", "entry ad-free"])
+def test_layout_names_do_not_drop_an_article(name):
+    body = "<p>Main text, that is long enough to count for something.</p><p>More of the main text.</p>"
+    assert html_text.extract(f'<body><div class="{name}">{body}</div></body>') == "Main text, that is long enough to count for something.\nMore of the main text."
