@@ -125,10 +125,15 @@ def folded(points: list[np.ndarray]) -> np.ndarray:
     return np.array([p if len(p) == dim else p.reshape(-1, dim).sum(0) for p in points], dtype=np.int32)
 
 
-def features(docs: DataFrame, *, id_col: str, text_col: str, percent: int, words: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set (null for an empty one), the set's signatures and its point."""
+def features(docs: DataFrame, *, id_col: str, text_col: str, percent: int, words: int, sign: bool) -> DataFrame:
+    """doc_id, n_shingles, two hashes of the whole set (null for an empty one), and the set's point or, with ``sign``, its signatures.
+
+    Signatures take about as much room as the texts and are needed once, so they are made where they are shuffled and
+    aren't kept with the points.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = "signatures" if sign else "point"
         for pdf in frames:
             for at in range(0, len(pdf), 1000):
                 ids, rows = pdf.doc_id.iloc[at : at + 1000], []
@@ -136,16 +141,16 @@ def features(docs: DataFrame, *, id_col: str, text_col: str, percent: int, words
                     x = shingles(text, words)
                     if len(x):
                         keys = [int(mix64(x ^ np.uint64(s)).sum(dtype=np.uint64).view(np.int64)) for s in (0, 0x1234567)]
-                        rows.append((len(x), *keys, signatures(x, percent).view(np.int64), packed(point(x))))
+                        rows.append((len(x), *keys, signatures(x, percent).view(np.int64) if sign else packed(point(x))))
                     else:
-                        rows.append((0, None, None, np.zeros(0, np.int64), b""))
-                out = pd.DataFrame(rows, columns=["n_shingles", "k1", "k2", "signatures", "point"])
+                        rows.append((0, None, None, np.zeros(0, np.int64) if sign else b""))
+                out = pd.DataFrame(rows, columns=["n_shingles", "k1", "k2", last])
                 out["k1"], out["k2"] = pd.array([r[1] for r in rows], "Int64"), pd.array([r[2] for r in rows], "Int64")
                 out["doc_id"] = pd.array([None if v is None else int(v) for v in ids], "Int64")
                 yield out
 
     rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(tidily(run), "n_shingles long, k1 long, k2 long, signatures array<long>, point binary, doc_id long")
+    return rows.mapInPandas(tidily(run), f"n_shingles long, k1 long, k2 long, {'signatures array<long>' if sign else 'point binary'}, doc_id long")
 
 
 def _each(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
@@ -394,11 +399,14 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     prepare(spark)
-    rows = cut(features(docs, id_col=id_col, text_col=text_col, percent=percent, words=words))
-    usable = rows.where("doc_id is not null and k1 is not null")
-    sets = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signatures").alias("signatures"), F.first("point").alias("point"))
+    usable_ = "doc_id is not null and k1 is not null"
+    options = {"id_col": id_col, "text_col": text_col, "percent": percent, "words": words}
+    rows = cut(features(docs, **options, sign=False))
+    usable = rows.where(usable_)
+    sets = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("point").alias("point"))
+    signed = features(docs, **options, sign=True).where(usable_).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signatures").alias("signatures"))
     by = "over (partition by s)"
-    met = sets.select("rep", F.explode("signatures").alias("s")).selectExpr("rep", f"min(rep) {by} as hub", f"max(rep) {by} as last", f"count(*) {by} as n", f"bit_xor(xxhash64(rep)) {by} as x")
+    met = signed.select("rep", F.explode("signatures").alias("s")).selectExpr("rep", f"min(rep) {by} as hub", f"max(rep) {by} as last", f"count(*) {by} as n", f"bit_xor(xxhash64(rep)) {by} as x")
     met = cut(met.where("hub != last").select("rep", F.xxhash64("hub", "last", "n", "x").alias("g"), F.col("n").alias("total")).distinct())  # the same sets meet in many groups: once is enough
     free(spark)
     points = met.where(F.col("total") <= tile).select("g", F.lit(0).cast("long").alias("t1"), F.lit(0).cast("long").alias("t2"), "rep", F.lit(-1).cast("long").alias("tile"))
