@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, table
 
-OUT = "query_id long, vec_id long, score double"
+OUT = "query_id long, vec_id long, which long, score double"
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -50,7 +50,7 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 
-def search_block(qid: np.ndarray, queries: np.ndarray, vid: np.ndarray, vectors: np.ndarray, codes: np.ndarray, scalars: np.ndarray, turn: np.ndarray, k: int, width: float) -> pd.DataFrame:
+def search_block(qid: np.ndarray, queries: np.ndarray, vid: np.ndarray, which: np.ndarray, vectors: np.ndarray, codes: np.ndarray, scalars: np.ndarray, turn: np.ndarray, k: int, width: float) -> pd.DataFrame:
     """The k nearest of one block's vectors for each of one block's queries."""
     found = []
     unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
@@ -72,8 +72,8 @@ def search_block(qid: np.ndarray, queries: np.ndarray, vid: np.ndarray, vectors:
                 score = np.concatenate([score, exact_cosine(np.broadcast_to(queries[i], (len(rest), queries.shape[1])), vectors[rest])])
                 first = np.concatenate([first, rest])
         best = np.lexsort((vid[first], -score))[:k]
-        found.append(pd.DataFrame({"query_id": qid[i], "vec_id": vid[first[best]], "score": score[best]}))
-    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        found.append(pd.DataFrame({"query_id": qid[i], "vec_id": vid[first[best]], "which": which[first[best]], "score": score[best]}))
+    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "which": [], "score": []})
 
 
 def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -87,21 +87,22 @@ def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: st
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller id. Vectors that are null, all zero or
     hold null or non-finite components take no part, and a query meets only vectors of its own dimension. Rows
-    with the same id count once, with the smallest of their vectors. Queries and vectors are dealt
+    with the same id are one query, whose own they all are, and its nearness is the largest of its vectors'; as
+    candidates each of their different vectors counts, equal ones once. Queries and vectors are dealt
     into blocks of bounded size, and each pair of blocks is one unit of work; nothing is broadcast or collected
     but two counts.
     """
     spark = vectors.sparkSession
     prepare(spark)
-    rows = _usable(vectors, id_col, vec_col).groupBy("id").agg(F.min("vec").alias("vec"))
+    rows = _usable(vectors, id_col, vec_col).distinct()
     n, n_queries = rows.agg(F.count("*"), F.count_if(is_query(F.col("id")))).first()
     vector_blocks, query_blocks = max(1, -(-n // vector_block)), max(1, -(-n_queries // query_block))
 
     # as a query a row goes to each vector block, as a vector to each query block
     blocks = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
     h = F.xxhash64("id")
-    as_query = rows.where(is_query(F.col("id"))).select(F.lit(True).alias("q"), "id", "vec", F.pmod(h, F.lit(query_blocks)).cast("int").alias("qb"), F.explode(blocks(vector_blocks)).alias("vb"))
-    as_vector = rows.select(F.lit(False).alias("q"), "id", "vec", F.explode(blocks(query_blocks)).alias("qb"), F.pmod(h, F.lit(vector_blocks)).cast("int").alias("vb"))
+    as_query = rows.where(is_query(F.col("id"))).select(F.lit(True).alias("q"), "id", "vec", F.lit(0).cast("long").alias("which"), F.pmod(h, F.lit(query_blocks)).cast("int").alias("qb"), F.explode(blocks(vector_blocks)).alias("vb"))
+    as_vector = rows.select(F.lit(False).alias("q"), "id", "vec", F.xxhash64("vec").alias("which"), F.explode(blocks(query_blocks)).alias("qb"), F.pmod(h, F.lit(vector_blocks)).cast("int").alias("vb"))
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turns: dict[int, np.ndarray] = {}
@@ -120,7 +121,7 @@ def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: st
                     continue
                 v = np.array(others.vec.tolist(), dtype=np.float64)
                 codes, scalars = encode(v / np.linalg.norm(v, axis=1, keepdims=True), turns[dim])
-                yield search_block(queries.id.to_numpy(), np.array(queries.vec.tolist(), dtype=np.float64), others.id.to_numpy(), v, codes, scalars, turns[dim], k, width)
+                yield search_block(queries.id.to_numpy(), np.array(queries.vec.tolist(), dtype=np.float64), others.id.to_numpy(), others.which.to_numpy(), v, codes, scalars, turns[dim], k, width)
 
         last = None
         for pdf in frames:
@@ -132,7 +133,8 @@ def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: st
         yield from done()
 
     pairs = as_query.unionByName(as_vector).repartition(F.col("qb"), F.col("vb")).sortWithinPartitions("qb", "vb")
-    found = pairs.mapInPandas(work, OUT)
+    # a vector that several of a query's vectors find is one
+    found = pairs.mapInPandas(work, OUT).repartition("query_id").groupBy("query_id", "vec_id", "which").agg(F.max("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
