@@ -30,6 +30,14 @@ def header(doc_id: int | None) -> bytes:
     return np.array([0x8000 | (x >> (LIMB_BITS * k)) & 0x7FFF for k in range(LIMBS)], dtype="<u2").tobytes()
 
 
+def shifted(raw: bytes) -> bytes:
+    """A document's ids of four bytes as written, in two; raises for an id that two bytes can't hold."""
+    ids = np.frombuffer(raw, "<u4")
+    if len(ids) and int(ids.max()) + SHIFT > 0xFFFF:
+        raise ValueError(f"token id {ids.max()} doesn't fit two bytes")
+    return (ids + SHIFT).astype("<u2").tobytes()
+
+
 def id_of(limbs: np.ndarray) -> int | None:
     x = sum((int(v) & 0x7FFF) << (LIMB_BITS * k) for k, v in enumerate(limbs))
     return None if x == NO_ID else x - (1 << 64) if x >= 1 << 63 else x
@@ -67,7 +75,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: s
             texts, ids = [t or "" for t in pdf.text], [None if pd.isna(x) else int(x) for x in pdf.doc_id]
             for a, b in slices([len(t) for t in texts], 1_000_000):
                 raw = tokens.encode(texts[a:b])
-                yield pd.DataFrame({"value": [header(i) + (np.frombuffer(x, "<u4") + SHIFT).astype("<u2").tobytes() for i, x in zip(ids[a:b], raw, strict=True)]})
+                yield pd.DataFrame({"value": [header(i) + shifted(x) for i, x in zip(ids[a:b], raw, strict=True)]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # ids stay exact where nulls would make pandas use floats
