@@ -14,12 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import absent, prepare, table
 
 # HTML's element kinds, and the words that sites use in class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-LEFT_OUT = frozenset("head script style noscript template nav header footer aside form button select textarea input iframe object embed applet canvas svg math audio video map dialog menu title frame frameset noframes datalist".split())
+LEFT_OUT = frozenset("head script style noscript template nav header footer aside button select textarea input iframe object embed applet canvas svg math audio video map dialog menu title frame frameset noframes datalist".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption search".split())
 CLOSE_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption option optgroup legend".split())
 IMPLIED = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("tbody thead tfoot tr td th caption", "table"), "thead": ("tbody tr td th caption", "table"), "tfoot": ("tbody thead tr td th", "table"), "option": ("option", "select datalist"), "optgroup": ("option optgroup", "select")}
@@ -30,6 +30,7 @@ UNWANTED = frozenset(
 WANTED = frozenset("article body content entry hentry main page post story text blog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form note status tooltip".split())
 NEVER_OUT = frozenset("html body article main".split())
+TALK = frozenset("comment comments commentlist disqus replies respond".split())
 
 TOKEN = re.compile(
     r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)",
@@ -38,15 +39,15 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME_PART = re.compile(r"[a-z]+")
 #: Names that say what stands beside an element or not, rather than what it is.
-LAYOUT = re.compile(r"(?<!\S)(?:no|has|with|without)[-_]\S+|(?<!\S)\S+[-_](?:free|less)(?!\S)")
+LAYOUT = re.compile(r"(?<!\S)(?:\S+[-_])?(?:no|has|with|without)[-_]\S+|(?<!\S)\S+[-_](?:free|less)(?!\S)")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
-    __slots__ = ("article", "bonus", "chars", "children", "direct", "link_chars", "links", "out", "parent", "points", "tag")
+    __slots__ = ("article", "bonus", "chars", "children", "direct", "link_chars", "links", "maybe", "out", "parent", "points", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool = False, bonus: float = 0.0):
-        self.tag, self.parent, self.out, self.bonus = tag, parent, out, bonus
+    def __init__(self, tag: str, parent: Node | None, out: bool = False, bonus: float = 0.0, maybe: str = ""):
+        self.tag, self.parent, self.out, self.bonus, self.maybe = tag, parent, out, bonus, maybe
         self.article = tag == "article" or parent is not None and parent.article
         self.children: list[Node | str] = []
         self.chars = self.link_chars = self.links = 0
@@ -54,23 +55,31 @@ class Node:
         self.points: float | None = None
 
 
-def _traits(tag: str, attrs: str) -> tuple[bool, float]:
-    """Whether the element is left out, and its points to begin with."""
+def _traits(tag: str, attrs: str) -> tuple[bool, float, str]:
+    """Whether the element is left out, its points to begin with, and why it is left out if it turns out not to hold the article.
+
+    The reason is "name" (an unwanted name), "mixed" (also a wanted one, as a class of its own) or "form".
+    """
     if tag in LEFT_OUT:
-        return True, 0.0
+        return True, 0.0, ""
+    maybe = "form" if tag == "form" else ""
     bonus = {"article": 10.0, "main": 8.0, "div": 2.0, "section": 2.0}.get(tag, 0.0)
     if not attrs or attrs.isspace():
-        return False, bonus
+        return False, bonus, maybe
     got = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attrs)}
     out = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(got.get("style", "").lower())) or not ROLES.isdisjoint(got.get("role", "").lower().split())
-    own = set()
+    own, whole = set(), set()
     for k in ("class", "id"):
-        own.update(NAME_PART.findall(LAYOUT.sub(" ", unescape(got.get(k, "")).lower())))
+        names = LAYOUT.sub(" ", unescape(got.get(k, "")).lower())
+        whole.update(names.split())
+        own.update(NAME_PART.findall(names))
     if own & UNWANTED:
-        out = True
+        maybe = "mixed" if whole & WANTED and not own & TALK else "name"
     if own & WANTED:
         bonus += 6.0
-    return out and tag not in NEVER_OUT, bonus
+    if tag in NEVER_OUT:
+        return False, bonus, ""
+    return out, bonus, maybe
 
 
 def parse(html: str) -> list[Node]:
@@ -129,8 +138,8 @@ def parse(html: str) -> list[Node]:
             if tag == "br":
                 parent.children.append(" ")
             continue
-        out, bonus = _traits(tag, attrs)
-        node = Node(tag, parent, out or parent.out, bonus)
+        out, bonus, maybe = _traits(tag, attrs)
+        node = Node(tag, parent, out or parent.out, bonus, maybe)
         parent.children.append(node)
         nodes.append(node)
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS and tag not in RAW and tag != "a":
@@ -154,6 +163,33 @@ def _block_of(node: Node) -> Node:
     return node
 
 
+def _settle(nodes: list[Node]) -> None:
+    """Leaves out what names and forms say, but for an element that holds the article.
+
+    That is one with most of the page's text outside of links which is a form, has a wanted name too, or holds the
+    page's first heading.
+    """
+    if not any(n.maybe and not n.out for n in nodes):
+        return
+    size, heads = dict.fromkeys(map(id, nodes), 0), set()
+    for node in reversed(nodes):  # children come before their parents
+        if node.out or node.tag == "a":
+            continue
+        size[id(node)] += sum(len(c.strip()) for c in node.children if type(c) is str)
+        if node.tag == "h1":
+            heads.add(id(node))
+        if node.parent:
+            size[id(node.parent)] += size[id(node)]
+            if id(node) in heads:
+                heads.add(id(node.parent))
+    total = size[id(nodes[0])]
+    for node in nodes[1:]:
+        if node.parent.out:
+            node.out = True
+        elif node.maybe and not node.out:
+            node.out = not (2 * size[id(node)] > total and (node.maybe != "name" or id(node) in heads))
+
+
 def _score(nodes: list[Node]) -> None:
     for node in nodes:
         if node.out:
@@ -268,12 +304,18 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     nodes = parse(html)
+    _settle(nodes)
     _score(nodes)
     return "\n".join(blocks(_kept(nodes)))
 
 
 def extract_text(pages: DataFrame, *, html_col: str = "html", as_col: str = "text") -> DataFrame:
-    """The frame with one more column, the main text of each whole page."""
+    """The frame with one more column, the main text of each whole page; a column of that name raises.
+
+    Null, empty and textless pages give an empty text, an empty table no rows, repeated rows the same text each. Of
+    containers with equal points the first in page order counts. A ``header`` is left out, within an article too.
+    """
+    absent(pages, as_col)
     prepare(pages.sparkSession)
 
     @F.pandas_udf("string")

@@ -25,3 +25,18 @@ def test_menus_are_dropped():
 def test_layout_names_do_not_drop_an_article(name):
     body = "<p>Main text, that is long enough to count for something.</p><p>More of the main text.</p>"
     assert html_text.extract(f'<body><div class="{name}">{body}</div></body>') == "Main text, that is long enough to count for something.\nMore of the main text."
+
+
+BODY = "<p>Main text, that is long enough to count for something.</p><p>More of the main text.</p>"
+TEXT = "Main text, that is long enough to count for something.\nMore of the main text."
+
+
+@pytest.mark.parametrize("page", ['<div class="main social">{}</div>', '<form id="page">{}<input><button>Send</button></form>', '<div class="layout-with-sidebar"><div>{}</div><div class="sidebar"><p>Other news of the day.</p></div></div>'])
+def test_an_element_that_holds_the_article_stays(page):
+    assert html_text.extract(f"<body>{page.format(BODY)}</body>") == TEXT
+
+
+@pytest.mark.parametrize("aside", ['<div class="comments body">{}</div>', '<div class="sidebar">{}</div>', "<form>Write to us<p>Your words, which are many, go here.</p></form>"])
+def test_longer_asides_are_still_left_out(aside):
+    talk = "<p>What a reader has to say, at some length, about all of it.</p>" * 9
+    assert html_text.extract(f"<body><div id='story'>{BODY}</div>{aside.format(talk)}</body>") == TEXT
