@@ -13,11 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, prepare, table
+from .common import absent, cut, fold, prepare, table
 
 UNKNOWN = "und"
 BITS = 15
 ORDERS = (1, 2, 3)
+MOST_SENT = 10_000  # languages whose shares are sent to all tasks
 
 
 def _has_letter(text: str) -> bool:
@@ -123,9 +124,12 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     if held_out:
         rows = rows.where(fold(F.col("id"), held_out[0]) != held_out[1])
     # a share of each language by hash, about twice the rows wanted, before they are ranked
-    h = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-    shares = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(2.0 * most_rows * (1 << 20)) / F.col("n") + (1 << 12)).alias("below"))
-    some = rows.withColumn("h", h).join(shares, "lang").where("h < below").withColumn("rank", F.expr("row_number() over (partition by lang order by h, id)")).where(F.col("rank") <= most_rows)
+    # a row a language: sent to all tasks, so that only the chosen texts move
+    spread = 1 << 40
+    shares = cut(rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit((2.0 * most_rows + 64) * spread) / F.col("n")).alias("below")))
+    if shares.count() <= MOST_SENT:
+        shares = F.broadcast(shares)
+    some = rows.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(spread))).join(shares, "lang").where("h < below").withColumn("rank", F.expr("row_number() over (partition by lang order by h, id)")).where(F.col("rank") <= most_rows)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -140,7 +144,11 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", as_col: str = "language") -> DataFrame:
-    """The frame with one more column, a struct of ``lang_pred`` and ``score``."""
+    """The frame with one more column, a struct of ``lang_pred`` and ``score``; a column of that name raises.
+
+    Null texts and those without a letter are ``und`` with a score of 0; repeated rows get the same prediction each.
+    """
+    absent(docs, as_col)
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
