@@ -22,6 +22,8 @@ from .packing import word_bpe
 END, SHIFT = 0, 1
 LIMBS, LIMB_BITS = 5, 15
 NO_ID = (1 << LIMBS * LIMB_BITS) - 1
+#: The end id as written, and rows of several documents that make a file at most.
+SEPARATOR, ROWS_A_FILE = b"\0\0", 16
 
 
 def header(doc_id: int | None) -> bytes:
@@ -61,26 +63,37 @@ def separators(tokens: np.ndarray, end: int, block: int = 1 << 16) -> tuple[np.n
     return np.concatenate(found), np.concatenate(starts)
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000) -> None:
-    """Write the documents' ids to flat files of at most ``most_rows`` documents in a folder that Spark can write to.
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000, most_bytes: int = 1 << 27) -> None:
+    """Write the documents' ids to flat files in a folder that Spark can write to; repeated rows are written as often as they stand.
 
-    Spark's text sink makes them: a row is a header and a document's ids, and the row separator is the end id, two
-    zero bytes. A null or empty text is a header alone.
+    Spark's text sink makes them: a row is several documents, each a header and its ids, and the row separator is the
+    end id, two zero bytes, which also parts the documents of a row. A null or empty text is a header alone, an empty
+    table makes no tokens. A file has at most ``most_rows`` documents and ``most_bytes`` bytes, or ``ROWS_A_FILE``
+    times those of its longest document where that is more.
     """
     prepare(docs.sparkSession)
+    rows_a_file = max(1, min(ROWS_A_FILE, most_rows))
+    most_docs, most_size = max(1, most_rows // rows_a_file), most_bytes // rows_a_file
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = TokenBytes.at(tokenizer)
+        tokens, held, size = TokenBytes.at(tokenizer), [], 0
         for pdf in frames:
             texts, ids = [t or "" for t in pdf.text], [None if pd.isna(x) else int(x) for x in pdf.doc_id]
             for a, b in slices([len(t) for t in texts], 1_000_000):
-                raw = tokens.encode(texts[a:b])
-                yield pd.DataFrame({"value": [header(i) + shifted(x) for i, x in zip(ids[a:b], raw, strict=True)]})
+                for i, raw in zip(ids[a:b], tokens.encode(texts[a:b]), strict=True):
+                    doc = header(i) + shifted(raw)
+                    if held and (len(held) == most_docs or size + len(doc) + len(SEPARATOR) > most_size):
+                        yield pd.DataFrame({"value": [SEPARATOR.join(held)]})
+                        held, size = [], 0
+                    held.append(doc)
+                    size += len(doc) + len(SEPARATOR)
+        if held:
+            yield pd.DataFrame({"value": [SEPARATOR.join(held)]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # ids stay exact where nulls would make pandas use floats
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(tidily(run), "value binary")
-    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0\0").option("maxRecordsPerFile", most_rows).text(folder)
+    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode()).option("maxRecordsPerFile", rows_a_file).text(folder)
 
 
 def scan_token_files(spark: SparkSession, path: str, *, end: int = END, dtype: str = "<u2", with_header: bool = False, block: int = 1 << 16) -> DataFrame:
