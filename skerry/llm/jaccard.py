@@ -7,7 +7,10 @@ of any size apart.
 
 The tree is spread over the cluster by its top level. Two sets that are similar enough differ in a bounded number of
 shingles, so when shingles are dealt into more groups than that by hash, some group has the same content in both.
-Sets that agree on a group's content meet; meetings of the same sets count once. Among those that meet, an R-tree finds
+Sets that agree on a group's content meet; meetings of the same sets count once. There are more groups than needed, and
+a set leaves out as many contents: the first by an order that is the same for all sets, in which those that a sample finds
+in many sets come first. So what unlike texts have in common doesn't bring them together, and the sample decides
+on the work only, never on the result. Among those that meet, an R-tree finds
 which may be similar by the bound. What that connects, directly or through others, is a family, whose pairs are verified
 by a tree of its own. Meetings and families of more than ``tile`` sets are cut into tiles by size and hash; only tiles
 whose sizes allow similar sets are brought together, two by two: the points of a meeting, and the texts of
@@ -25,7 +28,14 @@ from pyspark.sql import functions as F
 
 from .common import cut, free, fresh, mix64, prepare, table, tidily
 
-SLACK = 2
+#: How many groups there are beyond those needed: at least so many, else that share of the most differences.
+SLACK, SLACK_SHARE = 2, 0.5
+#: Contents of groups that may be sent to all tasks as frequent, and in how many sets of the sample they are at least.
+MOST_FREQUENT, LEAST_SEEN = 100_000, 4
+#: Sets of the sample, but at least and at most these shares of all.
+SAMPLE, SAMPLE_SHARES = 10_000, (0.01, 0.05)
+#: Items whose neighbours are sought before a tree is made.
+HUBS = 8
 #: Coordinates of a point: powers of two, about a fourth of the set's size, so that unlike sets differ in enough of them.
 LEAST_COORDINATES, MOST_COORDINATES = 64, 4096
 FANOUT = 32
@@ -67,27 +77,40 @@ def classes(n: int, percent: int) -> list[tuple[int, int, int]]:
         if high >= n:
             most = 2 * high * (100 - percent) // (100 + percent)
             if most:
-                found.append((k, most, most + 1 + SLACK))
+                found.append((k, most, most + 1 + max(SLACK, int(SLACK_SHARE * most))))
         low, k = high + 1, k + 1
     return found
 
 
-def signatures(x: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the contents of the set's groups, for each of its classes.
+def signatures(x: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray] | None = None, *, every: bool = False) -> np.ndarray:
+    """Hashes of the contents of the set's groups, for each of its classes: one more than similar sets may differ in.
 
-    Similar sets agree on at least ``SLACK + 1`` groups. Groups that both have empty count among these, so empty ones
-    may be left out by a set that has at most ``SLACK`` of them: another group of the two is the same and isn't empty.
+    Similar sets agree on more groups than a set leaves out. It leaves out the first in an order of all contents: empty
+    groups, then ``frequent`` ones (rising hashes, and the place of each), then the others by hash. The last
+    on which two sets agree has the others before it in both, so neither leaves it out. With ``every``, all contents
+    but those of empty groups are returned.
     """
     out = []
     top, spread = x >> np.uint64(32), mix64(x ^ np.uint64(0x5851F42D4C957F2D))
-    for k, _, groups in classes(len(x), percent):
+    for k, most, groups in classes(len(x), percent):
         g = (top * np.uint64(groups)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         own = np.uint64((k + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
-        out.append(mix64(np.add.reduceat(spread, first) + mix64(g[first] + own)))
-        if groups - len(first) > SLACK:
+        full = mix64(np.add.reduceat(spread, first) + mix64(g[first] + own))
+        if every:
+            out.append(full)
+            continue
+        leave = groups - most - 1 - (groups - len(first))
+        if leave >= 0:
+            order = full >> np.uint64(1) | np.uint64(1 << 63)
+            if frequent and len(frequent[0]):
+                hashes, places = frequent
+                at = np.minimum(np.searchsorted(hashes, full), len(hashes) - 1)
+                order = np.where(hashes[at] == full, places[at], order)
+            out.append(full[np.lexsort((full, order))[leave:]])
+        else:
             empty = np.setdiff1d(np.arange(groups, dtype=np.uint64), g[first])
-            out.append(mix64(mix64(empty + own) + np.uint64(1)))
+            out += [full, np.sort(mix64(mix64(empty + own) + np.uint64(1)))[leave:]]
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -125,11 +148,11 @@ def folded(points: list[np.ndarray]) -> np.ndarray:
     return np.array([p if len(p) == dim else p.reshape(-1, dim).sum(0) for p in points], dtype=np.int32)
 
 
-def features(docs: DataFrame, *, id_col: str, text_col: str, percent: int, words: int, sign: bool) -> DataFrame:
+def features(docs: DataFrame, *, id_col: str, text_col: str, percent: int, words: int, sign: bool, frequent=None) -> DataFrame:
     """doc_id, n_shingles, two hashes of the whole set (null for an empty one), and the set's point or, with ``sign``, its signatures.
 
     Signatures take about as much room as the texts and are needed once, so they are made where they are shuffled and
-    aren't kept with the points.
+    aren't kept with the points. ``frequent`` is a broadcast of what ``signatures`` takes; without it, all signatures are given.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,7 +164,7 @@ def features(docs: DataFrame, *, id_col: str, text_col: str, percent: int, words
                     x = shingles(text, words)
                     if len(x):
                         keys = [int(mix64(x ^ np.uint64(s)).sum(dtype=np.uint64).view(np.int64)) for s in (0, 0x1234567)]
-                        rows.append((len(x), *keys, signatures(x, percent).view(np.int64) if sign else packed(point(x))))
+                        rows.append((len(x), *keys, signatures(x, percent, frequent and frequent.value, every=not frequent).view(np.int64) if sign else packed(point(x))))
                     else:
                         rows.append((0, None, None, np.zeros(0, np.int64) if sign else b""))
                 out = pd.DataFrame(rows, columns=["n_shingles", "k1", "k2", last])
@@ -153,6 +176,21 @@ def features(docs: DataFrame, *, id_col: str, text_col: str, percent: int, words
     return rows.mapInPandas(tidily(run), f"n_shingles long, k1 long, k2 long, {'signatures array<long>' if sign else 'point binary'}, doc_id long")
 
 
+def _frequent(docs: DataFrame, n: int, options: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The contents of groups that most sets of a sample have, as ``signatures`` takes them: at most ``MOST_FREQUENT``.
+
+    Texts are sampled by their hash, so that copies count once.
+    """
+    least, most = (share * n for share in SAMPLE_SHARES)
+    step = int(n / min(max(SAMPLE, least), most)) if n else 1
+    some = docs.where(F.pmod(F.xxhash64(F.col(options["text_col"]), F.lit("sample")), F.lit(step)) == 0)
+    seen = features(some, **options, sign=True).where("k1 is not null").groupBy("k1", "k2").agg(F.first("signatures").alias("signatures"))
+    counts = seen.select(F.explode("signatures").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SEEN)
+    top = counts.orderBy(F.desc("n"), "s").limit(MOST_FREQUENT).select("s").toPandas()["s"].to_numpy(np.int64).view(np.uint64)  # bounded
+    by = np.argsort(top)
+    return top[by], by.astype(np.uint64)
+
+
 def _each(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
     """Rows (a, b) for each pair of columns of each row; how the frame is partitioned stays as it is, so few rows need no shuffle."""
     return df.select(F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs])))
@@ -254,6 +292,8 @@ def link(sets: list[np.ndarray] | None, vectors: np.ndarray, nodes: list[int], k
     if left < 2:
         return []
     sizes = vectors.sum(1)
+    if sets is None and tiles is None and (star := _star(vectors, sizes, percent)):
+        return [(max(nodes[i], nodes[j]), min(nodes[i], nodes[j])) for i, j in star]
     tree = Tree(vectors, sizes)
     if sets is None and tiles is None:
         return [(max(nodes[i], nodes[j]), min(nodes[i], nodes[j])) for i, j in _stars(tree.join(percent))]
@@ -281,6 +321,20 @@ def link(sets: list[np.ndarray] | None, vectors: np.ndarray, nodes: list[int], k
     return found
 
 
+def _star(vectors: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs that connect all items with the first, if the neighbours of few items tell so; else none."""
+    left, found = np.arange(1, len(sizes)), [0]
+    for k in range(HUBS):
+        if k == len(found):
+            return []
+        near = Tree._may(vectors[found[k]], sizes[found[k]], vectors[left], sizes[left], percent)
+        found += left[near].tolist()
+        left = left[~near]
+        if not len(left):
+            return [(i, 0) for i in found[1:]]
+    return []
+
+
 def _stars(near: np.ndarray) -> list[tuple[int, int]]:
     """Pairs that connect what a symmetric matrix connects: each item with the first of its component."""
     left, pairs = np.ones(len(near), bool), []
@@ -404,7 +458,8 @@ def join_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = cut(features(docs, **options, sign=False))
     usable = rows.where(usable_)
     sets = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("point").alias("point"))
-    signed = features(docs, **options, sign=True).where(usable_).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signatures").alias("signatures"))
+    frequent = spark.sparkContext.broadcast(_frequent(docs, rows.count(), options))
+    signed = features(docs, **options, sign=True, frequent=frequent).where(usable_).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("signatures").alias("signatures"))
     by = "over (partition by s)"
     met = signed.select("rep", F.explode("signatures").alias("s")).selectExpr("rep", f"min(rep) {by} as hub", f"max(rep) {by} as last", f"count(*) {by} as n", f"bit_xor(xxhash64(rep)) {by} as x")
     met = cut(met.where("hub != last").select("rep", F.xxhash64("hub", "last", "n", "x").alias("g"), F.col("n").alias("total")).distinct())  # the same sets meet in many groups: once is enough
