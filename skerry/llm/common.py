@@ -9,7 +9,7 @@ import re
 import tempfile
 from collections.abc import Callable, Iterator
 from functools import wraps
-from itertools import chain, filterfalse, islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -135,7 +135,7 @@ class TokenBytes:
     encoded together; any other chunk goes to the library as it is.
     """
 
-    MOST, AFTER = 400_000, 80_000
+    MOST, AFTER = 600_000, 80_000
     LONGEST = 64
     PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
     PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -172,7 +172,7 @@ class TokenBytes:
                 setattr(self, name, {k: held[k] for k in islice(held, rest) if len(k) <= self.LONGEST})
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")  # the same ids, without their places in the text
 
     def _learn_parts(self, new: list[str]) -> None:
         for i in range(0, len(new), 4096):
@@ -191,15 +191,17 @@ class TokenBytes:
         parts, plain = self.parts, self.PLAIN.fullmatch
         alone, apart, missing = {}, {}, set()
         for chunk in new:
-            if not plain(chunk) or "<|" in chunk:
+            if chunk.isalpha():
+                if chunk.isascii() or plain(chunk):
+                    low = alone[chunk] = chunk.lower()
+                    if low not in parts:
+                        missing.add(low)
+                else:
+                    self.chunks[chunk] = self._ids(chunk).tobytes()
+            elif not plain(chunk) or "<|" in chunk:
                 self.chunks[chunk] = self._ids(chunk).tobytes()
-                continue
-            low = chunk.lower()
-            if low.isalpha():
-                alone[chunk] = low
-                if low not in parts:
-                    missing.add(low)
             else:
+                low = chunk.lower()
                 own = apart[chunk] = tuple(self.PARTS.findall(low))
                 for part in own:
                     if part not in parts:
@@ -217,10 +219,14 @@ class TokenBytes:
         collects = gc.isenabled()
         gc.disable()  # all that is made here is needed or freed at once; scans of it would cost as much as the work
         try:
-            if new := set(filterfalse(self.chunks.__contains__, chain.from_iterable(split))):
+            flat = list(chain.from_iterable(split))
+            got = list(map(self.chunks.get, flat))  # a chunk is looked up again only if it wasn't known
+            if new := {chunk for chunk, ids in zip(flat, got, strict=True) if ids is None}:
                 self._learn(new)
-            get = self.chunks.__getitem__
-            return [b"".join(map(get, chunks)) for chunks in split]
+                get = self.chunks.__getitem__
+                got = [get(chunk) if ids is None else ids for chunk, ids in zip(flat, got, strict=True)]
+            ids = iter(got)
+            return [b"".join(islice(ids, len(chunks))) for chunks in split]
         finally:
             if collects:
                 gc.enable()
