@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import absent, fold, fresh, prepare, table, tidily, tidy
+from .common import absent, fold, fresh, prepare, table, tidily
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -137,6 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     Rows without an id, a label of 0 or 1, or a document are passed over; a null text has no words. An id with
     several labels or texts gives a row for each different pair, of all of which again the first ``most_rows`` count.
+    One task fits them, so that the driver gets the weights and none of the texts' words.
     """
     prepare(docs.sparkSession)
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").distinct()
@@ -150,13 +151,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"h": pdf.h, "y": pdf.y, "words": [" ".join(sorted(words_of(t))) for t in pdf.text]})
 
     pairs = seen.select(F.xxhash64("id").alias("h"), "y", "text").mapInPandas(tidily(distinct), "h long, y int, words string").distinct()
-    got = pairs.orderBy("h", "y", "words").limit(most_rows).select("y", "words").toPandas()
-    order = np.lexsort((got.y.to_numpy(), pd.factorize(got.words, sort=True)[0]))
-    labels_, words = got.y.to_numpy(float)[order], got.words.to_numpy()[order]
-    del got
-    model = fit_words((set(w.split()) for w in words), labels_, **options)
-    tidy()
-    return model
+    def fitted(frames):
+        parts = [pdf[["y", "words"]] for pdf in frames]
+        if not parts:
+            return
+        got = pd.concat(parts)
+        order = np.lexsort((got.y.to_numpy(), pd.factorize(got.words, sort=True)[0]))
+        labels_, words = got.y.to_numpy(float)[order], got.words.to_numpy()[order]
+        parts.clear()
+        del got
+        model = fit_words((set(w.split()) for w in words), labels_, **options)
+        yield pd.DataFrame({"word": [None, *model.weights], "weight": [model.bias, *model.weights.values()]})
+
+    got = pairs.orderBy("h", "y", "words").limit(most_rows).coalesce(1).mapInPandas(tidily(fitted), "word string, weight double").collect()  # a row a chosen word
+    weights = {r.word: r.weight for r in got}
+    return ToxicityModel(weights, weights.pop(None)) if weights else ToxicityModel()
 
 
 def score_column(spark: SparkSession, model: ToxicityModel):
