@@ -43,7 +43,10 @@ SCHEMAS = {
 
 
 def index(spark: SparkSession, sf_dir: str, table: str = "documents", parts: int = 1) -> IndexWriter:
-    """A writer of the table's index; with ``parts`` the rows are dealt into as many flushes by id, one segment each."""
+    """A writer of the table's index; with ``parts`` the rows are dealt into as many flushes by id, one segment each.
+
+    One segment's documents are numbered in the order of their ids, whatever files they come in (Spark reads the largest first).
+    """
     key = (spark.sparkContext.applicationId, sf_dir, table, parts)
     if key not in _kept:
         schema, id_field = SCHEMAS[table]
@@ -52,7 +55,7 @@ def index(spark: SparkSession, sf_dir: str, table: str = "documents", parts: int
             rows = rows.withColumn("id", F.concat_ws("-", "conv_id", "turn"))
         writer = IndexWriter(spark, IndexWriterOptions(_folder(spark, table), schema, id_field))
         for k in range(parts):
-            writer.add_documents(rows.where(F.col(id_field).cast("long") % parts == k) if parts > 1 else rows)
+            writer.add_documents(rows.where(F.col(id_field).cast("long") % parts == k) if parts > 1 else rows.orderBy(id_field))
             writer.flush()
         _kept[key] = writer
     return _kept[key]
