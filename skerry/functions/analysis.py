@@ -62,11 +62,21 @@ def chars_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
+#: Texts of these alone hold no CJK, and their token characters are ASCII.
+_LATIN = r"^[\x{0}-\x{FF}]*$"
+
+
+def _latin_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("[0-9A-Za-z]+"), F.lit(0))
+
+
+def _any_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.array_join(F.transform(chars_of(text), lambda x: F.when(_is_token_char(x), x).otherwise(F.lit(" "))), ""), F.lit("[^ ]+"), F.lit(0))
+
+
 def standard_tokens(text: Column) -> Column:
     """Longest runs of token characters, case kept; those with a code point whose low byte is an ASCII letter or digit, and CJK."""
-    latin = F.regexp_extract_all(text, F.lit("[0-9A-Za-z]+"), F.lit(0))
-    any_ = F.regexp_extract_all(F.array_join(F.transform(chars_of(text), lambda x: F.when(_is_token_char(x), x).otherwise(F.lit(" "))), ""), F.lit("[^ ]+"), F.lit(0))
-    return F.when(text.rlike(r"^[\x{0}-\x{FF}]*$"), latin).otherwise(any_)
+    return F.when(text.rlike(_LATIN), _latin_tokens(text)).otherwise(_any_tokens(text))
 
 
 def cjk_bigrams(text: Column) -> Column:
@@ -76,7 +86,36 @@ def cjk_bigrams(text: Column) -> Column:
 
 def mixed_tokens(text: Column) -> Column:
     """Bigrams where more than half of the characters are CJK, else standard tokens."""
-    return F.when(F.regexp_count(text, F.lit(f"[{CJK}]")) * 2 > F.char_length(text), cjk_bigrams(text)).otherwise(standard_tokens(text))
+    cjk = F.regexp_count(text, F.lit(f"[{CJK}]")) * 2 > F.char_length(text)
+    return F.when(text.rlike(_LATIN), _latin_tokens(text)).when(cjk, cjk_bigrams(text)).otherwise(_any_tokens(text))
+
+
+def counted(tokens: Column) -> Column:
+    """An array of (term, tf): the distinct tokens of an array in byte order, and how often each occurs.
+
+    One sort within the row, so rows that are documents need no exchange of tokens to be counted.
+    """
+
+    def starts(s: Column) -> Column:
+        return F.filter(F.transform(s, lambda x, i: F.when((i == 0) | ~x.eqNullSafe(F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+
+    def pairs(s: Column, at: Column) -> Column:
+        return F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("tf")))
+
+    # arrays of one are how a value gets a name, so that it is made once
+    return F.flatten(F.transform(F.array(F.sort_array(tokens)), lambda s: F.flatten(F.transform(F.array(starts(s)), lambda at: pairs(s, at)))))
+
+
+def term_counts(df: DataFrame, tokens: Column, *keys: str) -> DataFrame:
+    """keys, term, tf (int): how often each term occurs in the tokens of all rows of the same keys.
+
+    Where the keys tell the rows apart, which is found by looking at them alone, a row's counts are whole and nothing is exchanged.
+    """
+    rows = df.select(*keys, F.inline(counted(tokens)))
+    n = "_".join(("n", *keys))  # longer than any key
+    if df.groupBy(*keys).agg(F.count("*").alias(n)).where(F.col(n) > 1).isEmpty():
+        return rows
+    return rows.groupBy(*keys, "term").agg(F.sum("tf").cast("int").alias("tf"))
 
 
 def keep_all(tokens: Column) -> Column:
@@ -116,7 +155,7 @@ class Analyzer:
 
     def analyze(self, df: DataFrame, text_col: str, *keys: str) -> DataFrame:
         """keys, term, tf: how often each term occurs in each text."""
-        return df.select(*keys, F.explode(self.tokens(F.col(text_col))).alias("term")).groupBy(*keys, "term").agg(F.count("*").cast("int").alias("tf"))
+        return term_counts(df, self.tokens(F.col(text_col)), *keys)
 
 
 def token_stream(df: DataFrame, text_col: str, *keys: str) -> DataFrame:

@@ -150,7 +150,8 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def standard_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.explode(analysis.standard_tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    counts = analysis.term_counts(_table(spark, sf_dir, "documents"), analysis.standard_tokens(F.col("text")), "doc_id")
+    return counts.select("doc_id", F.col("term").alias("token"), F.col("tf").cast("long").alias("n"))
 
 
 def token_positions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,24 @@
 """How an index is built: the order of documents, and what is exchanged on the way."""
 
 import os
+from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from skerry import queries as core
+from skerry.functions import analysis
+from skerry.operators.writer import IndexWriter, IndexWriterOptions, postings_of
+from skerry.sources.schema import InvalidArgumentError, Schema
 
 SF = "/root/testdata/sf0.001"
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture(scope="module")
 def uneven(tmp_path_factory):
     """documents in two files, of which the second one is the larger: Spark reads it first."""
@@ -28,3 +37,28 @@ def test_documents_are_numbered_by_id_whatever_file_is_read_first(spark, uneven,
     rel = con.execute(core.ORACLE_SQL[name])
     names = [d[0] for d in rel.description]
     assert sorted(map(tuple, core.QUERIES[name](spark, uneven).select(*names).collect())) == sorted(rel.fetchall())
+
+
+TOKENS = [[], ["b", "a", "b"], ["x"], ["b", "b", "b", "é", "a", "é"], None]
+
+
+def test_tokens_are_counted_in_their_row(spark):
+    df = spark.createDataFrame(list(enumerate(TOKENS)), "k int, tokens array<string>")
+    got = df.select("k", F.inline(analysis.counted(F.col("tokens"))))
+    assert "Exchange" not in plan(got)
+    found = Counter({(r.k, r.term): r.tf for r in got.collect()})
+    assert found == Counter((k, t) for k, x in enumerate(TOKENS) for t in x or ())
+
+
+def test_counts_of_rows_that_share_a_key_are_summed(spark):
+    df = spark.createDataFrame([(1, "a b a"), (1, "b c"), (2, "a"), (None, "a"), (None, "a")], "k int, text string")
+    got = analysis.Analyzer().analyze(df, "text", "k")
+    assert {(r.k, r.term): r.tf for r in got.collect()} == {(1, "a"): 2, (1, "b"): 2, (1, "c"): 1, (2, "a"): 1, (None, "a"): 2}
+    assert dict(got.dtypes)["tf"] == "int"
+
+
+@pytest.mark.parametrize("name", ["standard_tokens", "stopword_postings"])
+def test_no_token_is_exchanged_where_ids_are_unique(spark, name):
+    got = core.QUERIES[name](spark, SF)
+    assert "hashpartitioning(doc_id#" not in plan(got) or name == "stopword_postings"
+    assert ", term#" not in "".join(x for x in plan(got).splitlines() if "hashpartitioning" in x)
