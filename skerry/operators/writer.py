@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.analysis import Analyzer
+from ..functions.analysis import Analyzer, counted
 from ..sources.schema import InvalidArgumentError, Schema
 from ..sources.store import Manifest, SegmentMeta, Store
 from ..sources.wal import WriteAheadLog
@@ -58,9 +58,8 @@ def analyzed(docs: DataFrame, schema: Schema, analyzer: Analyzer) -> DataFrame:
 
 
 def postings_of(docs: DataFrame) -> DataFrame:
-    """segment_id, term, doc_id, tf, doc_length of frames with doc_length and tokens: one sum by key, with partial sums before the shuffle."""
-    terms = docs.select("segment_id", "doc_id", "doc_length", F.explode("tokens").alias("term"))
-    return terms.groupBy("segment_id", "term", "doc_id", "doc_length").agg(F.count("*").cast("int").alias("tf")).select("segment_id", "term", "doc_id", "tf", "doc_length")
+    """segment_id, term, doc_id, tf, doc_length of frames with doc_length and terms, the counted tokens of a document a row."""
+    return docs.select("segment_id", "doc_id", "doc_length", F.inline("terms")).select("segment_id", "term", "doc_id", "tf", "doc_length")
 
 
 class IndexWriter:
@@ -107,25 +106,31 @@ class IndexWriter:
         """
         o = self.options
         docs = documents_of(df, self.schema, o.external_id_field).withColumn("order", F.monotonically_increasing_id())
-        first = F.row_number().over(Window.partitionBy("external_id").orderBy("order"))
         taken = self._live_ids().select(F.col("external_id").alias("taken")).distinct()
-        checked = docs.withColumn("n", F.when(F.col("external_id") == "", 0).otherwise(first)).join(taken, F.col("external_id") == F.col("taken"), "left")
-        reason = F.when(F.col("external_id") == "", "missing or empty external id").when(F.col("n") > 1, "repeated external id").when(F.col("taken").isNotNull(), "taken external id")
-        checked = checked.withColumn("reason", reason)
-        bad = checked.where("reason is not null").select("external_id", "reason")
-        if on_invalid == "raise" and (found := bad.first()):
-            raise InvalidArgumentError(f"{found.reason}: {found.external_id!r}")
         pairs = lambda n: F.transform(F.col("texts")[n], lambda v: F.struct(F.lit(n).alias("name"), v.alias("value")))
         fields = [pairs(n) for n in self.schema.text_fields]
         stored = [F.array(F.struct(F.lit(n).alias("name"), F.col("stored")[n].alias("value"))) for n in self.schema.stored_fields if n not in self.schema.text_fields]
-        parts = [*fields, *stored]
-        good = checked.where("reason is null").select(F.col("order").alias("internal_id"), "external_id", F.flatten(F.array(*parts)).alias("fields"))
+        logged = [F.col("order").alias("internal_id"), "external_id", F.flatten(F.array(*fields, *stored)).alias("fields")]
+
+        def reasoned(ids: DataFrame) -> DataFrame:
+            """Of a frame with external_id and n, the count or place of its repeats: with the reason to refuse a row."""
+            reason = F.when(F.col("external_id") == "", "missing or empty external id").when(F.col("n") > 1, "repeated external id").when(F.col("taken").isNotNull(), "taken external id")
+            return ids.join(taken, F.col("external_id") == F.col("taken"), "left").withColumn("reason", reason)
+
+        def refuse(records: DataFrame) -> None:
+            if found := reasoned(records.groupBy("external_id").agg(F.count("*").alias("n"))).where("reason is not null").first():
+                raise InvalidArgumentError(f"{found.reason}: {found.external_id!r}")
+
         kept = None
-        if on_invalid == "reject":  # written before the log changes, as the check depends on it
-            name = f"rejected/{uuid.uuid4().hex}"
-            bad.write.parquet(f"{self.store.path}/{name}")
+        if on_invalid == "raise":  # texts stay where they are; of what is written, only ids are compared
+            self._pending.append(self.wal.append_add(docs.select(*logged), refuse))
+        else:
+            first = F.row_number().over(Window.partitionBy("external_id").orderBy("order"))
+            checked = reasoned(docs.withColumn("n", F.when(F.col("external_id") == "", 0).otherwise(first)))
+            name = f"rejected/{uuid.uuid4().hex}"  # written before the log changes, as the check depends on it
+            checked.where("reason is not null").select("external_id", "reason").write.parquet(f"{self.store.path}/{name}")
             kept = self.spark.read.schema("external_id string, reason string").parquet(f"{self.store.path}/{name}")
-        self._pending.append(self.wal.append_add(good))
+            self._pending.append(self.wal.append_add(checked.where("reason is null").select(*logged)))
         self.stats.docs_added.inc(self.wal.records(self._pending[-1:]).count())
         return kept
 
@@ -149,7 +154,7 @@ class IndexWriter:
     def _postings_of_pending(self) -> DataFrame:
         docs = self._documents_of_pending().withColumn("segment_id", F.lit(0)).withColumn("doc_id", F.xxhash64("external_id"))
         docs = analyzed(docs, self.schema, self.options.analyzer).withColumn("tokens", F.flatten("tokens"))
-        return postings_of(docs.withColumn("doc_length", F.size("tokens")))
+        return postings_of(docs.withColumn("doc_length", F.size("tokens")).withColumn("terms", counted(F.col("tokens"))))
 
     # segments
     def flush(self, *, batch_id: str | None = None) -> list[int]:
@@ -212,25 +217,35 @@ class IndexWriter:
         self._clear(ids)
         staged = f"{self.store.path}/staging/{uuid.uuid4().hex}"
         lengths = F.transform("tokens", lambda x: F.size(x))
-        docs.select("segment_id", "doc_id", "external_id", F.aggregate(lengths, F.lit(0), lambda a, x: a + x).alias("doc_length"), lengths.alias("field_lengths"), "stored", F.flatten("tokens").alias("tokens")).write.parquet(staged)
+        docs.select("segment_id", "doc_id", "external_id", F.aggregate(lengths, F.lit(0), lambda a, x: a + x).alias("doc_length"), lengths.alias("field_lengths"), "stored", counted(F.flatten("tokens")).alias("terms")).write.parquet(staged)
         docs = self.spark.read.parquet(staged)
-        docs.drop("tokens").repartitionByRange("segment_id", "doc_id").sortWithinPartitions("segment_id", "doc_id").write.mode("append").partitionBy("segment_id").parquet(f"{self.store.path}/docs")
-        self._write_postings(postings_of(docs))
+        self._write_ranges("docs", ids, docs.drop("terms"), "doc_id")
+        self._write_postings(postings_of(docs), ids)
         metas = self._metas(ids)
         self.store.delete(staged.removeprefix(f"{self.store.path}/"))
         return metas
 
-    def _write_postings(self, postings: DataFrame) -> None:
+    def _write_postings(self, postings: DataFrame, ids: list[int]) -> None:
         # ranges of (term, document): files hold few terms each, and a term that most documents have is spread
-        ranged = postings.repartitionByRange("segment_id", "term", "doc_id").sortWithinPartitions("segment_id", "term", "doc_id")
-        ranged.write.mode("append").partitionBy("segment_id").parquet(f"{self.store.path}/postings")
+        self._write_ranges("postings", ids, postings, "term", "doc_id")
+
+    def _write_ranges(self, table: str, ids: list[int], rows: DataFrame, *by: str) -> None:
+        """Write rows of segments in ranges, sorted.
+
+        A single segment isn't sorted by: sorts compare the first bytes of their first column, which tell nothing where it is constant.
+        """
+        path = f"{self.store.path}/{table}"
+        if len(ids) == 1:
+            rows.drop("segment_id").repartitionByRange(*by).sortWithinPartitions(*by).write.mode("append").parquet(f"{path}/segment_id={ids[0]}")
+        else:
+            rows.repartitionByRange("segment_id", *by).sortWithinPartitions("segment_id", *by).write.mode("append").partitionBy("segment_id").parquet(path)
 
     def _metas(self, ids: list[int]) -> list[SegmentMeta]:
         docs = self.store.table("docs", ids, "segment_id long, doc_id int, doc_length int")
         got = {r.segment_id: r for r in docs.groupBy("segment_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_length"), F.lit(0)).alias("t")).collect()}
         postings = self.store.table("postings", [i for i in ids if self.store.exists(f"postings/segment_id={i}")], "segment_id long, term string, doc_id int")
         terms = postings.groupBy("segment_id", "term").agg(F.count("*").cast("int").alias("doc_freq"))
-        terms.repartitionByRange("segment_id", "term").sortWithinPartitions("segment_id", "term").write.mode("append").partitionBy("segment_id").parquet(f"{self.store.path}/term_dict")
+        self._write_ranges("term_dict", ids, terms, "term")
         return [SegmentMeta(i, got[i].n, got[i].t, got[i].t / got[i].n if got[i].t else 0.0) for i in ids if i in got]
 
     def _publish(self, manifest: Manifest) -> None:
@@ -303,7 +318,7 @@ class IndexWriter:
             docs, postings = swap(docs), swap(postings)
         here = lambda rows: rows.withColumn("segment_id", F.lit(target).cast("long"))
         here(docs).write.mode("append").partitionBy("segment_id").parquet(f"{self.store.path}/docs")
-        self._write_postings(here(postings))
+        self._write_postings(here(postings), [target])
         n = self.store.table("docs", [target], "segment_id long, doc_id int").count() if self.store.exists(f"docs/segment_id={target}") else 0
         self._metas([target])
         total = sum(known[i].truncated_terms for i in ids)

@@ -92,6 +92,13 @@ class Store:
         p, fs = self._fs(f"{self.path}/{name}")
         fs.delete(p, True)
 
+    def move(self, name: str, to: str) -> None:
+        old, fs = self._fs(f"{self.path}/{name}")
+        new = self._fs(f"{self.path}/{to}")[0]
+        fs.mkdirs(new.getParent())
+        if fs.exists(new) or not fs.rename(old, new):
+            raise CorruptIndexError(f"{to} is there already: another writer has written it")
+
     def _put(self, name: str, text: str) -> None:
         part, fs = self._fs(f"{self.path}/{name}.part")
         out = fs.create(part, True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,9 +38,24 @@ class WriteAheadLog:
         """Operations of both kinds in the order of a frame with op (ADD or REMOVE), internal_id, external_id and fields; returns the batch's number."""
         return self._append(rows.select(F.lit(self._next).cast("long").alias("batch"), F.monotonically_increasing_id().alias("seq"), "op", F.col("internal_id").cast("long").alias("internal_id"), F.col("external_id").cast("string").alias("external_id"), "fields"))
 
-    def append_add(self, docs: DataFrame) -> int:
-        """Of a frame with internal_id, external_id and fields; returns the batch's number."""
-        return self._append(docs.select(F.lit(self._next).cast("long").alias("batch"), F.monotonically_increasing_id().alias("seq"), F.lit("ADD").alias("op"), F.col("internal_id").cast("long").alias("internal_id"), "external_id", "fields"))
+    def append_add(self, docs: DataFrame, check: Callable[[DataFrame], None] | None = None) -> int:
+        """Of a frame with internal_id, external_id and fields; returns the batch's number.
+
+        With ``check`` the records are written beside the log, shown to it, and moved into the log unless it raises.
+        """
+        rows = docs.select(F.lit(self._next).cast("long").alias("batch"), F.monotonically_increasing_id().alias("seq"), F.lit("ADD").alias("op"), F.col("internal_id").cast("long").alias("internal_id"), "external_id", "fields")
+        if check is None:
+            return self._append(rows)
+        batch, staged = self._next, f"staging/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.store.path}/{staged}")
+        try:
+            check(self.spark.read.schema(RECORD).parquet(f"{self.store.path}/{staged}"))
+        except BaseException:
+            self.store.delete(staged)
+            raise
+        self.store.move(staged, f"wal/{batch}")
+        self._next += 1
+        return batch
 
     def append_remove(self, ids: DataFrame) -> int:
         none = F.lit(None).cast("array<struct<name: string, value: string>>").alias("fields")

@@ -62,3 +62,30 @@ def test_no_token_is_exchanged_where_ids_are_unique(spark, name):
     got = core.QUERIES[name](spark, SF)
     assert "hashpartitioning(doc_id#" not in plan(got) or name == "stopword_postings"
     assert ", term#" not in "".join(x for x in plan(got).splitlines() if "hashpartitioning" in x)
+
+
+def test_postings_are_made_without_an_exchange(spark):
+    docs = spark.createDataFrame([(0, 0, 3, ["a", "b", "a"])], "segment_id long, doc_id int, doc_length int, tokens array<string>")
+    got = postings_of(docs.withColumn("terms", analysis.counted(F.col("tokens"))))
+    assert "Exchange" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == [(0, "a", 0, 2, 3), (0, "b", 0, 1, 3)]
+
+
+def test_a_batch_is_read_once_and_a_refused_one_leaves_no_trace(spark, tmp_path):
+    writer = IndexWriter(spark, IndexWriterOptions(str(tmp_path), Schema().text("text", stored=True).keyword("id"), "id"))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    batch = lambda *ids: spark.createDataFrame([(i, "a") for i in ids], "id string, text string").withColumn("id", counted("id"))
+    writer.add_documents(batch("1", "2", "3"))
+    assert seen.value == 3
+    for ids in (("4", "4"), ("4", ""), ("4", "2")):
+        with pytest.raises(InvalidArgumentError):
+            writer.add_documents(batch(*ids))
+    assert writer.wal.batches() == [0] and not writer.store.names("staging")
+    writer.flush()
+    assert sorted(r.external_id for r in writer.get_reader().documents().collect()) == ["1", "2", "3"]
