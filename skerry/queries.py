@@ -264,8 +264,8 @@ def retry_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
     except InterruptedError:
         pass
     reader = IndexWriter(spark, writer.options).refresh_reader()
-    rows = reader.resolve(reader.postings())
-    return rows.groupBy(F.col("external_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n_terms"), F.sum("tf").cast("long").alias("n_tokens"))
+    rows = reader.resolve(reader.postings().groupBy("segment_id", "doc_id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens")))
+    return rows.groupBy(F.col("external_id").cast("long").alias("doc_id")).agg(F.sum("n_terms").alias("n_terms"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def _fail(*_) -> None:

@@ -89,3 +89,9 @@ def test_a_batch_is_read_once_and_a_refused_one_leaves_no_trace(spark, tmp_path)
     assert writer.wal.batches() == [0] and not writer.store.names("staging")
     writer.flush()
     assert sorted(r.external_id for r in writer.get_reader().documents().collect()) == ["1", "2", "3"]
+
+
+def test_retry_flush_sums_by_document_before_it_looks_up_names(spark):
+    tree = core.retry_flush(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    join = tree.index("Join")
+    assert "Aggregate" in tree[:join] and "Aggregate" in tree[join:]
